@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from siftmark.llm import chat_format, exact_dedup, language_id, media_ts, packing, token_counts, toxicity
+from siftmark.llm import chat_format, exact_dedup, language_id, media_ts, packing, pii, token_counts, toxicity
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_packing": packing.op4_packing,
+    "op6_pii": pii.op6_pii,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_media_columns": media_ts.op9_media_columns,
