@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftmark.llm.shared import written
+from siftmark.llm.shared import sized, written
 
 #: Runs that one round merges into one.
 FAN_IN = 8
@@ -61,7 +61,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     """Groups rows whose texts are equal without white space and names the row of each that stays.
 
     Takes any table with ``doc_id`` and ``text``; other columns are not read. Returns a row
-    per row: doc_id, keep_id, group_size, kept, text_sha256, chars, row_id. The row with most
+    per row: doc_id, keep_id, group_size, kept, text_sha256, chars, check, row_id. The row with most
     code points stays, then the one with the smallest doc_id (null ids last), then the first
     row read. A null text counts as empty and all empty texts are one group; of repeated rows
     one is kept. An empty table gives an empty table.
@@ -86,6 +86,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
         (alone | (F.col("row_id") == F.col("b_row"))).alias("kept"),
         "text_sha256",
         "chars",
+        "check",
         "row_id",
     )
 
@@ -97,23 +98,24 @@ def dedup_filter(docs: DataFrame) -> DataFrame:
     in all three one stays.
     """
     found = written(exact_dedup(docs), "dedup")
-    key = ["__id", "__sha", "__n"]
-    keyed = found.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("chars").alias("__n"), "kept")
-    gone, stay = keyed.filter(~F.col("kept")).drop("kept"), keyed.filter("kept").drop("kept")
+    key = ["__id", "__check", "__n"]
+    keyed = found.select(F.col("doc_id").alias("__id"), F.col("check").alias("__check"), F.col("chars").alias("__n"), "kept")
+    gone, stay = written(keyed.filter(~F.col("kept")).drop("kept").distinct(), "gone"), keyed.filter("kept").drop("kept")
     text = F.coalesce(docs["text"], F.lit(""))
-    marked = docs.withColumns({"__d_sha": F.sha2(F.translate(text, BLANKS, ""), 256), "__d_n": F.length(text)})
-    here = [marked["doc_id"], marked["__d_sha"], marked["__d_n"]]
+    marked = docs.withColumns({"__d_check": F.xxhash64(F.translate(text, BLANKS, "")), "__d_n": F.length(text)})
+    here = [marked["doc_id"], marked["__d_check"], marked["__d_n"]]
 
-    def among(keys: DataFrame, how: str) -> DataFrame:
+    def among(keys: DataFrame, rows: int, how: str) -> DataFrame:
         on = [a.eqNullSafe(keys[k]) if k == "__id" else a == keys[k] for a, k in zip(here, key, strict=True)]
-        return marked.join(keys, on, how)
+        return marked.join(sized(keys, rows), on, how)
 
-    same = [gone["__id"].eqNullSafe(stay["__id"]), gone["__sha"] == stay["__sha"], gone["__n"] == stay["__n"]]
-    repeats = written(gone.join(stay, same, "left_semi").distinct(), "repeats")
-    if not repeats.head(1):
-        return among(gone, "left_anti").select(*docs.columns)
+    same = [gone["__id"].eqNullSafe(stay["__id"]), gone["__check"] == stay["__check"], gone["__n"] == stay["__n"]]
+    repeats = written(gone.join(stay, same, "left_semi"), "repeats")
+    n, n_repeats = gone.count(), repeats.count()
+    if not n_repeats:
+        return among(gone, n, "left_anti").select(*docs.columns)
     # rows that the table repeats: their key is both dropped and kept, so one row of each key stays
-    out = among(gone, "left_anti").unionByName(among(repeats, "left_semi").dropDuplicates(["doc_id", "__d_sha", "__d_n"]))
+    out = among(gone, n, "left_anti").unionByName(among(repeats, n_repeats, "left_semi").dropDuplicates(["doc_id", "__d_check", "__d_n"]))
     return out.select(*docs.columns)
 
 

@@ -36,7 +36,7 @@ from siftmark.llm.shared import forget, ship, sized, written
 #: Words of a shingle; links need NUM/DEN of the union or more.
 WORDS, NUM, DEN = 5, 75, 100
 #: Hashes that a task gathers before it deals them out; hashes and sets that a bucket should hold; members and hashes of a block.
-GATHER, BUCKET, BLOCK_MEMBERS, BLOCK_HASHES = 3_000_000, 1_500_000, 256, 1_000_000
+GATHER, BUCKET, BLOCK_MEMBERS, BLOCK_HASHES = 2_000_000, 1_500_000, 256, 1_000_000
 #: Stands for the sets of a hash that several have; a set's key is never this.
 SEVERAL = -(1 << 63)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]

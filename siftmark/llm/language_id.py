@@ -33,6 +33,8 @@ LEAST = 2
 WEIGHT_BYTES = 64
 #: Bytes that one step of scoring works on.
 STEP = 1 << 20
+#: Texts of a lower score are rejected by the filter.
+LEAST_SCORE = 0.5
 UNKNOWN = "und"
 _letter = regex.compile(r"\p{L}")
 
@@ -137,8 +139,12 @@ def train(docs: DataFrame, order: int = ORDER, sample: int = SAMPLE) -> ContextT
     """Trees from rows that may be learned from; None if there are none."""
     rows = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"), docs["lang"].alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & ~held_out("doc_id") & F.length("text").between(*SAMPLE_CHARS))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = rows.select("doc_id", "lang").withColumn("nth", nth).filter(F.col("nth") <= sample).select(F.col("doc_id").alias("id")).distinct()
+    # ids are first thinned to about four times the sample of each language, so that few rows are ranked
+    count = rows.groupBy("lang").agg(F.count("*").alias("n")).withColumnRenamed("lang", "l")
+    rank = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    thin = rows.select("doc_id", "lang").join(count, F.col("lang") == F.col("l")).filter(rank * F.col("n") <= F.lit(4.0 * sample * (1 << 40)))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(rank, "doc_id"))
+    ids = thin.withColumn("nth", nth).filter(F.col("nth") <= sample).select(F.col("doc_id").alias("id")).distinct()
     chosen = rows.join(F.broadcast(ids), rows["doc_id"] == ids["id"], "left_semi")
     texts: dict[str, dict[bytes, None]] = {}
     for r in sorted(chosen.select("doc_id", "lang", "text").collect(), key=lambda r: (r["doc_id"], r["text"])):
@@ -146,6 +152,21 @@ def train(docs: DataFrame, order: int = ORDER, sample: int = SAMPLE) -> ContextT
     return ContextTrees({k: list(v) for k, v in texts.items()}, order) if texts else None
 
 
+def predict(trees: ContextTrees | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    """Language and score of each text."""
+    lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    there = [i for i, t in enumerate(texts) if t and trees and _letter.search(t)]
+    if there:
+        raw = [texts[i].encode() for i in there]
+        bits = trees.code_lengths(raw)
+        size = np.array([len(t) for t in raw])
+        odds = (bits - bits.min(axis=1, keepdims=True)) * (np.minimum(size, WEIGHT_BYTES) / size)[:, None]
+        share = 1 / np.exp2(-np.minimum(odds, 1000)).sum(axis=1)
+        for i, j, s in zip(there, bits.argmin(axis=1), share, strict=True):
+            lang[i], score[i] = trees.langs[j], float(s)
+    return lang, score
+
+
 def identify(docs: DataFrame, trees: ContextTrees | None) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, lang_pred, score.
 
@@ -159,23 +180,11 @@ def identify(docs: DataFrame, trees: ContextTrees | None) -> DataFrame:
     shared = spark.sparkContext.broadcast(trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = shared.value
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                texts = [t if t and trees and _letter.search(t) else None for t in part.column(2).to_pylist()]
-                lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
-                there = [i for i, t in enumerate(texts) if t is not None]
-                if there:
-                    raw = [texts[i].encode() for i in there]
-                    bits = trees.code_lengths(raw)
-                    size = np.array([len(t) for t in raw])
-                    best = bits.argmin(axis=1)
-                    odds = (bits - bits.min(axis=1, keepdims=True)) * (np.minimum(size, WEIGHT_BYTES) / size)[:, None]
-                    part_of = 1 / np.exp2(-np.minimum(odds, 1000)).sum(axis=1)
-                    for i, j, s in zip(there, best, part_of, strict=True):
-                        lang[i], score[i] = trees.langs[j], float(s)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lang), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
+                lang, score = predict(shared.value, part.column(2).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(docs["doc_id"], held_out(docs["doc_id"]).alias("held_out"), docs["text"])
@@ -186,6 +195,22 @@ def language_id(docs: DataFrame) -> DataFrame:
     return identify(docs, train(docs))
 
 
+def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """``docs`` with all its columns, less texts that are ``und`` or whose score is under ``least``."""
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                lang, score = predict(shared.value, part.column(at).to_pylist())
+                yield part.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(lang, score, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
     """All of ``documents``, one row per document."""
     return language_id(spark.read.parquet(f"{sf_dir}/documents.parquet"))

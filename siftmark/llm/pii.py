@@ -178,8 +178,10 @@ def sanitise(docs: DataFrame) -> DataFrame:
     found = find_spans(docs).filter(F.size("spans") > 0)
     # rows that repeat have the same spans
     found = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__hash"])
+    found = written(found, "found")
+    size = found.agg(F.count("*") + F.sum(F.size("__spans"))).first()[0] or 0  # rows and spans, of a few words each
     marked = docs.withColumn("__text_hash", F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
-    out = marked.join(found, marked["doc_id"].eqNullSafe(F.col("__id")) & (marked["__text_hash"] == F.col("__hash")), "left")
+    out = marked.join(sized(found, size), marked["doc_id"].eqNullSafe(F.col("__id")) & (marked["__text_hash"] == F.col("__hash")), "left")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in (*KINDS, ADDED[0])], F.lit(""))
     # a base span may overlap one of another kind: the text goes on behind the farthest end so far
     step = F.aggregate(

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from siftmark.llm import chat_format, exact_dedup, jaccard_join, language_id, media_ts, packing, pii, token_counts, toxicity
+from siftmark.llm import chat_format, exact_dedup, jaccard_join, language_id, media_ts, packing, pii, sentencepiece_scan, token_counts, toxicity
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
     "op2_ngram_jaccard_join": jaccard_join.op2_ngram_jaccard_join,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_packing": packing.op4_packing,
+    "op5_sentencepiece": sentencepiece_scan.op5_sentencepiece,
     "op6_pii": pii.op6_pii,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_token_counts": token_counts.op8_token_counts,
