@@ -118,15 +118,20 @@ def entity() -> Column:
 
 def disclosures(terms: DataFrame, spans: DataFrame, docs: DataFrame, n_docs: int) -> DataFrame:
     """(entity, term, disclosure) of pairs with enough support whose disclosure is GENERALISE or more; counts are over all of ``docs``."""
-    pairs = written(terms.select("row_id", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("df_te")).filter(F.col("df_te") >= SUPPORT), "pairs")
     of_entity = spans.select("row_id", entity().alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("df_e"))
+    pairs = terms.select("row_id", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("df_te")).filter(F.col("df_te") >= SUPPORT)
+    # a term is at least as frequent as next to entities, and it discloses enough only up to a frequency that follows from the pair:
+    # pairs whose term is more frequent than that already in contexts are done with
+    in_context = terms.select("row_id", "term").distinct().groupBy("term").agg(F.count("*").alias("df_c"))
+    most = F.col("df_te") * F.pow(F.lit(float(n_docs)) / F.col("df_e"), F.lit(1 - GENERALISE)) * (1 + 1e-9)
+    pairs = written(pairs.join(of_entity, "entity").join(in_context, "term").filter(F.col("df_c") <= most).drop("df_c"), "pairs")
     candidates = pairs.select(F.col("term").alias("candidate")).distinct()
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
     kept = words.join(sized(candidates, pairs.count()), F.col("term") == F.col("candidate"), "left_semi")
     of_term = kept.groupBy("term").agg(F.count("*").alias("df_t"))
     ic = F.log(F.lit(float(n_docs)) / F.col("df_e"))
     ratio = (F.log(F.lit(float(n_docs)) * F.col("df_te") / (F.col("df_t") * F.col("df_e").cast("double")))) / ic
-    out = pairs.join(of_entity, "entity").join(of_term, "term").filter(ic > 0)
+    out = pairs.join(of_term, "term").filter(ic > 0)
     return out.select("entity", "term", ratio.alias("disclosure")).filter(F.col("disclosure") >= GENERALISE)
 
 
