@@ -32,7 +32,7 @@ def auto_buckets(rows: DataFrame, n: int = 10, u: str = "uncertainty") -> DataFr
 def quantile_buckets(rows: DataFrame, n: int = 10, u: str = "uncertainty") -> DataFrame:
     """Buckets of about equal counts, by approximate quantiles: bounds, mean, count."""
     q = rows.stat.approxQuantile(u, [i / n for i in range(1, n)], 1e-4)
-    cut = F.size(F.filter(F.array(*[F.lit(x) for x in q]), lambda e: e <= F.col(u)))
+    cut = F.size(F.filter(F.array(*[F.lit(x) for x in q]), lambda e: e < F.col(u)))
     return rows.filter(F.col(u).isNotNull()).groupBy(cut.alias("bucket_id")).agg(F.min(u).alias("u_min"), F.max(u).alias("u_max"), F.avg(u).alias("u_mean"), F.count("*").alias("n_samples"))
 
 

@@ -78,8 +78,8 @@ def best_alpha(searched: DataFrame, by: list[str], metric: str = "f1") -> DataFr
     """The first best alpha in grid order for each value of ``by``."""
     pick = F.struct("alpha", "f1", "nll")
     rank = F.struct(F.col("f1"), -F.col("pos")) if metric == "f1" else F.struct(-F.col("nll"), -F.col("pos"))
-    out = searched.groupBy(*by).agg(F.max_by(pick, rank).alias("b"))
-    return out.select(*by, F.col("b.alpha").alias("alpha_star"), F.col("b.f1").alias("f1_at_alpha_star"), F.col("b.nll").alias("nll_at_alpha_star"))
+    out = searched.groupBy(*by).agg(F.max_by(pick, rank).alias("__best"))
+    return out.select(*by, F.col("__best.alpha").alias("alpha_star"), F.col("__best.f1").alias("f1_at_alpha_star"), F.col("__best.nll").alias("nll_at_alpha_star"))
 
 
 def alpha_pivot(searched: DataFrame, by: list[str], grid: tuple[float, ...]) -> DataFrame:
