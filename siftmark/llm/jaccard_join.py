@@ -31,12 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftmark.llm.components import components
-from siftmark.llm.shared import forget, ship, sized, written
+from siftmark.llm.shared import forget, ship, sized, trim, written
 
 #: Words of a shingle; links need NUM/DEN of the union or more.
 WORDS, NUM, DEN = 5, 75, 100
 #: Hashes that a task gathers before it deals them out; hashes and sets that a bucket should hold; members and hashes of a block.
-GATHER, BUCKET, BLOCK_MEMBERS, BLOCK_HASHES = 2_000_000, 1_500_000, 256, 1_000_000
+GATHER, BUCKET, BLOCK_MEMBERS, BLOCK_HASHES = 1_000_000, 750_000, 256, 1_000_000
 #: Stands for the sets of a hash that several have; a set's key is never this.
 SEVERAL = -(1 << 63)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
@@ -62,6 +62,12 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(a)
 
 
+def _texts(batch: pa.RecordBatch) -> Iterator[str | None]:
+    """Texts of a batch, a few at a time as Python objects."""
+    for k in range(0, batch.num_rows, 128):
+        yield from batch.column(1).slice(k, 128).to_pylist()
+
+
 def set_key(hashes: np.ndarray) -> int:
     return max(xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63), SEVERAL + 1)
 
@@ -76,8 +82,9 @@ def _classes(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [(len(s), set_key(s) if len(s) else 0) for s in (shingles(t, words) for t in b.column(1).to_pylist())]
+            sets = [(len(s), set_key(s) if len(s) else 0) for s in (shingles(t, words) for t in _texts(b))]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, pa.int64()) for x in (zip(*sets, strict=True) if sets else ((), ()))]], ["doc_id", "n", "set"])
+        trim()
 
     return docs.mapInArrow(run, "doc_id long, n long, set long")
 
@@ -108,7 +115,7 @@ def _dealt(docs: DataFrame, n_buckets: int, words: int, num: int, den: int) -> D
         held: dict[int, np.ndarray] = {}
         n = 0
         for b in batches:
-            for t in b.column(1).to_pylist():
+            for t in _texts(b):
                 s = shingles(t, words)
                 if len(s):
                     k = set_key(s)
@@ -120,6 +127,7 @@ def _dealt(docs: DataFrame, n_buckets: int, words: int, num: int, den: int) -> D
                     held, n = {}, 0
         if held:
             yield out(held)
+        trim()
 
     return docs.mapInArrow(run, "bucket long, hashes binary, sets binary")
 
@@ -176,6 +184,7 @@ def _tokens(docs: DataFrame, words: int) -> DataFrame:
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 hashes = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *sets])))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ends), pa.int64()), hashes], ["doc_id", "n", "hashes"])
+        trim()
 
     return docs.mapInArrow(run, "doc_id long, n long, hashes array<long>")
 
@@ -254,37 +263,39 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int =
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    members = written(_classes(docs, words), "members")
+    rows = docs.count()
+    members = written(_classes(docs, words), "members", rows)
     total = members.agg(F.sum("n")).first()[0] or 0
     classes = members.filter("n > 0").groupBy("set", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("cnt"))
-    classes = written(classes, "classes")
+    classes = written(classes, "classes", rows)
 
     n_buckets = max(8, -(-total // 2 // BUCKET))
     shared = _shared_counts(_dealt(docs, n_buckets, words, num, den), n_buckets)
     p = F.col("n") - F.ceil(F.col("n") * num / F.lit(den)) + 1
     enough = F.col("shared") > F.least(2 * p, F.col("n")) - p
-    live = written(classes.join(shared.withColumnRenamed("set", "s"), F.col("set") == F.col("s")).filter(enough).select("rep", "cnt"), "live")
+    live = written(classes.join(shared.withColumnRenamed("set", "s"), F.col("set") == F.col("s")).filter(enough).select("rep", "cnt"), "live", rows)
 
+    n_tokens = live.join(classes.select(F.col("rep").alias("r"), "n"), F.col("rep") == F.col("r")).agg(F.sum("n")).first()[0] or 0
     texts = docs.join(sized(live.select("rep").withColumnRenamed("rep", "r"), live.count()), F.col("doc_id") == F.col("r"), "left_semi")
     # a doc_id may be on several rows; the smallest set of it stands for its class then, as the class has it
     tokens = _tokens(texts, words).join(classes.select("rep", F.col("n").alias("of"), "cnt"), (F.col("doc_id") == F.col("rep")) & (F.col("n") == F.col("of")))
-    tokens = written(tokens.select("doc_id", "n", "cnt", F.explode("hashes").alias("hash")).distinct(), "tokens")
+    tokens = written(tokens.select("doc_id", "n", "cnt", F.explode("hashes").alias("hash")).distinct(), "tokens", n_tokens)
     # written, so that both sides of the join are dealt out for it and a hot hash can be split
-    df = written(tokens.groupBy("hash").agg(F.count("*").alias("df")).filter("df > 1").withColumnRenamed("hash", "h"), "df")
+    df = written(tokens.groupBy("hash").agg(F.count("*").alias("df")).filter("df > 1").withColumnRenamed("hash", "h"), "df", n_tokens)
     counted = tokens.join(df, F.col("hash") == F.col("h")).groupBy("doc_id", "n", "cnt").agg(F.collect_list(F.struct("df", "hash")).alias("shared"))
-    sets = written(_prefixes(counted, num, den), "sets")
+    sets = written(_prefixes(counted, num, den), "sets", n_tokens // 2)
     forget(tokens, live, df)
 
     # groups of identical size and prefix, named by their smallest member
     key = F.sha2(F.concat_ws(",", F.array_sort(F.col("prefix").cast("array<string>"))), 256).alias("key")
     groups = sets.select("doc_id", "n", "prefix", key).groupBy("n", "key").agg(F.min("doc_id").alias("g"), F.min_by("prefix", "doc_id").alias("prefix"))
-    groups = written(groups, "groups")
+    groups = written(groups, "groups", rows)
     # sizes within the ratio lie in the same band or in neighbouring ones, so they meet under the larger band's number
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(den / num)) + 1e-9)
     posted = groups.select("g", F.explode("prefix").alias("hash"), band.alias("band")).select("g", "hash", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
     first = posted.groupBy("hash", "band").agg(F.min("g").alias("m"), F.max("g").alias("last")).filter("m < last").select(F.col("hash").alias("h"), F.col("band").alias("k"), "m")
     edges = posted.join(first, (F.col("hash") == F.col("h")) & (F.col("band") == F.col("k"))).filter("g <> m").select(F.col("g").alias("a"), F.col("m").alias("b"))
-    family = components(edges)
+    family = components(edges, 2 * (groups.agg(F.sum(F.size("prefix"))).first()[0] or 0))
 
     # expand: members of each family, dealt into blocks by a hash so that no block is large
     expanded = sets.select("doc_id", "n", "cnt", "hashes", key).join(groups.select(F.col("n").alias("gn"), F.col("key").alias("gk"), "g"), (F.col("n") == F.col("gn")) & (F.col("key") == F.col("gk")))
@@ -292,14 +303,14 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int =
     weight = expanded.groupBy("family").agg(F.count("*").alias("rows"), F.sum(F.size("hashes")).alias("size"))
     # a family that fits into one block needs no bands
     fits = (F.col("rows") <= BLOCK_MEMBERS) & (F.col("size") <= BLOCK_HASHES)
-    weight = written(weight.filter("rows > 1").select(F.col("family").alias("f"), (~fits).alias("large")), "weight")
+    weight = written(weight.filter("rows > 1").select(F.col("family").alias("f"), (~fits).alias("large")), "weight", rows)
     placed = written(
-        expanded.join(weight, F.col("family") == F.col("f")).withColumn("band", F.when(F.col("large"), F.col("band")).otherwise(0)).drop("f"), "placed"
+        expanded.join(weight, F.col("family") == F.col("f")).withColumn("band", F.when(F.col("large"), F.col("band")).otherwise(0)).drop("f"), "placed", n_tokens // 2
     )
     blocks = placed.groupBy("family", "band").agg(
         F.greatest(F.ceil(F.count("*") / BLOCK_MEMBERS), F.ceil(F.sum(F.size("hashes")) / BLOCK_HASHES)).cast("int").alias("k")
     )
-    blocks = written(blocks, "blocks")
+    blocks = written(blocks, "blocks", rows)
 
     def of(name: str, shift: int) -> DataFrame:
         return blocks.select(F.col("family").alias(f"f{name}"), (F.col("band") + shift).alias(f"b{name}"), F.col("k").alias(name))
@@ -319,13 +330,13 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int =
     below = F.when(F.col("kdown").isNotNull(), F.transform(F.sequence(zero, F.col("kdown") - 1), lambda j: task(band - 1, 1, j, mine, F.lit(1))))
     tasks = x.withColumn("t", F.explode(F.concat(within, F.coalesce(above, none), F.coalesce(below, none)))).select("doc_id", "n", "cnt", "hashes", "family", "t.*")
     checked = tasks.groupBy("family", "lo", "step", "i", "j").applyInArrow(_verify(num, den), "doc_id long, links long, least long")
-    checked = written(checked, "links")
-    roots = components(checked.select(F.col("doc_id").alias("a"), F.col("least").alias("b")))
+    checked = written(checked, "links", tasks.count())
+    roots = components(checked.select(F.col("doc_id").alias("a"), F.col("least").alias("b")), checked.count())
     found = classes.select("set", "n", "rep", "cnt")
     degree = checked.groupBy("doc_id").agg(F.sum("links").alias("more")).withColumnRenamed("doc_id", "d")
     found = found.join(degree, F.col("rep") == F.col("d"), "left").join(roots, F.col("rep") == F.col("node"), "left")
     found = written(
-        found.select("set", "n", F.coalesce("root", "rep").alias("root"), (F.col("cnt") - 1 + F.coalesce("more", F.lit(0))).alias("links")).filter("links > 0"), "found"
+        found.select("set", "n", F.coalesce("root", "rep").alias("root"), (F.col("cnt") - 1 + F.coalesce("more", F.lit(0))).alias("links")).filter("links > 0"), "found", rows
     ).select(F.col("set").alias("s"), F.col("n").alias("m"), "root", "links")
     out = members.join(found, (F.col("set") == F.col("s")) & (F.col("n") == F.col("m")), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
@@ -333,7 +344,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int =
 
 def near_duplicate_filter(docs: DataFrame) -> DataFrame:
     """``docs`` with all its columns, less all documents but the smallest doc_id of each component of linked ones."""
-    lost = written(jaccard_join(docs).filter("component_id <> doc_id").select(F.col("doc_id").alias("__lost")).distinct(), "lost")
+    lost = written(jaccard_join(docs).filter("component_id <> doc_id").select(F.col("doc_id").alias("__lost")).distinct(), "lost", docs.count())
     return docs.join(sized(lost, lost.count()), docs["doc_id"] == F.col("__lost"), "left_anti")
 
 

@@ -116,7 +116,7 @@ def entity() -> Column:
     return F.concat(F.col("kind").cast("string"), F.lit(":"), value)
 
 
-def disclosures(terms: DataFrame, spans: DataFrame, docs: DataFrame, n_docs: int) -> DataFrame:
+def disclosures(terms: DataFrame, spans: DataFrame, docs: DataFrame, n_docs: int, n_spans: int) -> DataFrame:
     """(entity, term, disclosure) of pairs with enough support whose disclosure is GENERALISE or more; counts are over all of ``docs``."""
     of_entity = spans.select("row_id", entity().alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("df_e"))
     pairs = terms.select("row_id", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("df_te")).filter(F.col("df_te") >= SUPPORT)
@@ -124,7 +124,7 @@ def disclosures(terms: DataFrame, spans: DataFrame, docs: DataFrame, n_docs: int
     # pairs whose term is more frequent than that already in contexts are done with
     in_context = terms.select("row_id", "term").distinct().groupBy("term").agg(F.count("*").alias("df_c"))
     most = F.col("df_te") * F.pow(F.lit(float(n_docs)) / F.col("df_e"), F.lit(1 - GENERALISE)) * (1 + 1e-9)
-    pairs = written(pairs.join(of_entity, "entity").join(in_context, "term").filter(F.col("df_c") <= most).drop("df_c"), "pairs")
+    pairs = written(pairs.join(of_entity, "entity").join(in_context, "term").filter(F.col("df_c") <= most).drop("df_c"), "pairs", 2 * CONTEXT // LETTERS * n_spans)
     candidates = pairs.select(F.col("term").alias("candidate")).distinct()
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
     kept = words.join(sized(candidates, pairs.count()), F.col("term") == F.col("candidate"), "left_semi")
@@ -146,10 +146,12 @@ def find_spans(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(docs["text"], F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), docs["doc_id"].alias("doc_id"), F.xxhash64(text).alias("text_hash"), matches(text).alias("found"))
-    found = written(rows, "matches")
-    spans = written(base_spans(found.select("row_id", "found")), "base")
+    n_docs = docs.count()
+    found = written(rows, "matches", n_docs)
+    n = found.agg(F.sum(F.size("found"))).first()[0] or 0
+    spans = written(base_spans(found.select("row_id", "found")), "base", n)
     terms = context_terms(spans)
-    told = disclosures(terms, spans, docs.select(text.alias("text")), found.count())
+    told = disclosures(terms, spans, docs.select(text.alias("text")), n_docs, n)
     base = spans.groupBy("row_id").agg(
         *[F.count_if(F.col("kind") == k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)],
         F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("base"),
@@ -180,10 +182,11 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
     Texts without spans and null texts stay as they are, and so do all other columns.
     """
+    rows = docs.count()
     found = find_spans(docs).filter(F.size("spans") > 0)
     # rows that repeat have the same spans
     found = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__hash"])
-    found = written(found, "found")
+    found = written(found, "found", rows)
     size = found.agg(F.count("*") + F.sum(F.size("__spans"))).first()[0] or 0  # rows and spans, of a few words each
     marked = docs.withColumn("__text_hash", F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
     out = marked.join(sized(found, size), marked["doc_id"].eqNullSafe(F.col("__id")) & (marked["__text_hash"] == F.col("__hash")), "left")

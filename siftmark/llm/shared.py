@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import ctypes
 import io
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast if it has at most so many narrow rows (two longs: 32 MB); beyond, both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 
+#: Rows of a table between two steps that one file holds.
+ROWS_A_FILE = 2_000_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as spark.checkpoint.dir names it.
@@ -30,8 +35,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str, columns: list[str] | None = None) -> DataFrame:
-    """``df`` written to the shared folder and read back: its lineage ends here and it is computed once."""
+def written(df: DataFrame, name: str, rows: int) -> DataFrame:
+    """``df`` written to the shared folder and read back: its lineage ends here and it is computed once.
+
+    ``rows`` is a bound on its rows, from which the number of files follows: small tables are one file,
+    however many tasks made them.
+    """
+    return saved(df.repartition(max(1, -(-rows // ROWS_A_FILE))), name)
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """As :func:`written`, with a file per partition, for tables with texts."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/siftmark/{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
@@ -74,3 +88,12 @@ def held_out(doc_id: Column | str) -> Column:
 def sized(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if its counted ``rows`` allow it, else as it is for a shuffled join."""
     return F.broadcast(df) if rows <= most else df
+
+
+def trim() -> None:
+    """Gives freed memory of a Python worker back at the end of a task, as workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
