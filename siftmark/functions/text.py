@@ -7,22 +7,26 @@ from pyspark.sql import functions as F
 
 from siftmark.config import CleanConfig
 
-#: White space that is stripped, characters of a URL, and the patterns that are masked or removed.
-BLANK = r"[\s\x1c-\x1f]"
-URL = r"(?iU)(?:https?://|www\.)[a-zA-Z0-9\-._~:/?#\[\]@!$&'()*+,;=%]+(?=\s|$|[^\x00-\x7F])"
+#: White space that is stripped and that words end at, characters of a URL, and the patterns that are masked or removed.
+BLANKS = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+URL = r"(?i)(?:https?://|www\.)[a-zA-Z0-9\-._~:/?#\[\]@!$&'()*+,;=%]+(?=[\s\x1c-\x1f]|$|[^\x00-\x7F])"
 MENTION = r"(?U)@[a-zA-Z0-9_]{1,15}(?=\s|$|[\x{4e00}-\x{9fff}]|[^\w])"
 RETWEETS = (r"(?iU)RT\s+@\w+[:：]\s*", r"(?iU)转发\s*@\w+[:：]\s*", r"(?iU)Retweet\s+@\w+[:：]\s*")
 
 
+def bind(c: Column, f) -> Column:
+    """f(c) with c computed once, however often f names it."""
+    return F.transform(F.array(c), f)[0]
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(c, rf"(?U)\A{BLANK}+|{BLANK}+\z", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def word_count(c: Column) -> Column:
     """Words between white space; 1 for a text without any, so that it can divide."""
-    s = strip(c)
-    return F.when(F.length(s) == 0, 1).otherwise(F.size(F.split(s, rf"(?U){BLANK}+")))
+    return F.greatest(F.regexp_count(c, F.lit(f"[^{BLANKS}]+")), F.lit(1))
 
 
 def _literal(placeholder: str) -> str:
@@ -40,27 +44,30 @@ def mask_mentions(c: Column, placeholder: str = "[MENTION]") -> Column:
 
 
 def strip_retweets(c: Column) -> Column:
-    for p in RETWEETS:
-        c = F.regexp_replace(c, p, "")
-    return strip(c)
+    def without(x: Column) -> Column:
+        out = x
+        for p in RETWEETS:
+            out = F.regexp_replace(out, p, "")
+        return F.when(x.contains("@"), out).otherwise(x)
+
+    return strip(bind(c, without))
 
 
 def clean(c: Column, config: CleanConfig = CleanConfig()) -> Column:
     """The cleaned text; null for texts that are dropped (null, empty or too short before or after)."""
 
-    def long_enough(x: Column) -> Column:
-        return F.when(F.length(x) >= config.min_length, x)
+    def fits(x: Column) -> Column:
+        ok = F.length(x) >= config.min_length
+        return F.when(ok & (F.length(x) <= config.max_length), x) if config.max_length else F.when(ok, x)
 
-    x = long_enough(strip(c))
-    if config.max_length:
-        x = F.when(F.length(x) <= config.max_length, x)
+    x = bind(strip(c), fits)
     if config.url_handling == "replace":
         x = mask_urls(x, config.url_placeholder)
     if config.mention_handling == "replace":
         x = mask_mentions(x, config.mention_placeholder)
     if config.retweet_handling == "extract":
         x = strip_retweets(x)
-    return long_enough(strip(F.when(F.length(x) > 0, x)))
+    return bind(strip(x), lambda x: F.when(F.length(x) >= F.greatest(F.lit(config.min_length), F.lit(1)), x))
 
 
 def text_hash(c: Column) -> Column:

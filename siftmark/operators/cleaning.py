@@ -11,7 +11,9 @@ from siftmark.functions import text as T
 
 def clean_rows(docs: DataFrame, config: CleanConfig = CleanConfig(), text: str = "text") -> DataFrame:
     """Rows with cleaned text; rows that cleaning drops are gone."""
-    return docs.withColumn(text, T.clean(F.col(text), config)).filter(F.col(text).isNotNull())
+    # exploding drops nulls with the text computed once; a filter would compute it again
+    kept = F.explode(F.array_compact(F.array(T.clean(F.col(text), config)))).alias(text)
+    return docs.select(*[kept if c == text else F.col(c) for c in docs.columns])
 
 
 def dedup_keep_first(docs: DataFrame, order: list[str | Column], text: str = "text") -> DataFrame:
