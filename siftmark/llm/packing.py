@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from siftmark.llm import vocab
-from siftmark.llm.shared import ship
+from siftmark.llm.shared import ship, trim
 
 #: Tokens of a sequence; the id after each document; the tokenizer file.
 LENGTH, END, TOKENIZER = 4096, 2, "word_bpe_49k.json"
@@ -112,10 +112,10 @@ def document_ids(tokenizer, cache: vocab.Cache, texts: list[str]) -> Iterator[by
     """Ids of each text as ``tokenizer.encode(text, add_special_tokens=False)`` has them, as bytes; words are encoded once."""
     # special strings are matched before texts are lower-cased
     special = vocab.special_strings(tokenizer)
-    words = [vocab.WORD.findall(t) if any(x in t for x in special) else vocab.word_tokens(t) for t in texts]
-    known = cache.settle(set().union(*words), lambda new: list(map(vocab.id_bytes, vocab.encode_lists(tokenizer, new))))
-    for w in words:
-        yield b"".join(map(known.__getitem__, w))
+    for t in texts:
+        words = vocab.WORD.findall(t) if any(x in t for x in special) else vocab.word_tokens(t)
+        yield b"".join(map(cache.__getitem__, words))
+        cache.turn()
 
 
 def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: int = END) -> DataFrame:
@@ -160,6 +160,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: in
         packer.end()
         if rows:
             yield flush()
+        trim()
 
     schema = ", ".join(f"{f.name} long" for f in SCHEMA)
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, schema)

@@ -4,8 +4,8 @@ Texts are taken apart into the tokenizer's pre-tokens (beyond Latin-1 into words
 library takes apart further by itself; its pattern never joins across them).
 Each distinct pre-token is given to the tokenizer once and only its number of pieces is
 kept; a document's count is the sum over its pre-tokens of frequency times pieces. The
-join is local to a task: pieces of the distinct pre-tokens of a slice of documents, held
-in a bounded cache, are met by the frequencies of those documents. Shuffling (document,
+join is local to a task: pieces of the distinct pre-tokens that it has met, held in a
+bounded cache, are looked up by each document's frequencies. Shuffling (document,
 pre-token, frequency) rows instead would move several times the input.
 """
 
@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from siftmark.llm import vocab
-from siftmark.llm.shared import ship
+from siftmark.llm.shared import ship, trim
 
-#: Documents whose distinct pre-tokens are encoded together.
+#: Documents of one batch that goes out.
 SLICE = 256
 #: The tokenizer file and the limit that over_limit tells.
 TOKENIZER, LIMIT = "byte_bpe_50k.json", 1024
@@ -29,15 +29,15 @@ TOKENIZER, LIMIT = "byte_bpe_50k.json", 1024
 def count_texts(tokenizer, cache: vocab.Cache, texts: list[str]) -> list[int]:
     """Tokens of each text as ``tokenizer.encode(text, add_special_tokens=False)`` has them."""
     special = vocab.special_strings(tokenizer)
-    whole = {i for i, t in enumerate(texts) if any(s in t for s in special)}
-    freq = [Counter() if i in whole else Counter(vocab.byte_level_tokens(t)) for i, t in enumerate(texts)]
-    distinct = set().union(*freq)
-    pieces = cache.settle(distinct, lambda new: list(map(len, vocab.encode_lists(tokenizer, new))))
-    return [
-        # special strings are matched before pre-tokens are made, so such a text is encoded by itself
-        len(tokenizer.encode(t, add_special_tokens=False).ids) if i in whole else sum(n * pieces[p] for p, n in f.items())
-        for i, (t, f) in enumerate(zip(texts, freq, strict=True))
-    ]
+    out = []
+    for t in texts:
+        if any(s in t for s in special):
+            # special strings are matched before pre-tokens are made, so such a text is encoded by itself
+            out.append(len(tokenizer.encode(t, add_special_tokens=False).ids))
+        else:
+            out.append(sum(n * cache[p] for p, n in Counter(vocab.byte_level_tokens(t)).items()))
+        cache.turn()
+    return out
 
 
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:
@@ -51,7 +51,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
     at = path or vocab.default_path(TOKENIZER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, cache = vocab.load(at)
+        tokenizer, cache = vocab.load(at, "count")
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE):
                 part = batch.slice(k, SLICE)
@@ -62,6 +62,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
                     [part.column(0), pa.array(size, pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts])],
                     ["doc_id", "n_bytes", "n_tokens", "over_limit"],
                 )
+        trim()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select(docs["doc_id"], docs["text"]).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")

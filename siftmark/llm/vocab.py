@@ -7,7 +7,7 @@ import re
 from array import array
 
 #: White space as the tokenizers' patterns know it (Unicode White_Space).
-SPACE = "\t-\r \x85\xa0  -     　"
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A word with the space before it, or a run of white space less the last character before a word, or that character.
 CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 WORD = re.compile(f"[^{SPACE}]+")
@@ -37,7 +37,7 @@ def word_tokens(text: str) -> list[str]:
 
 
 #: Entries of one generation of a cache; two are held.
-GENERATION = 400_000
+GENERATION = 250_000
 
 
 def default_path(name: str) -> str:
@@ -46,51 +46,58 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class Cache:
-    """word -> value, in two generations: the older one is forgotten when the younger is full."""
+class Cache(dict):
+    """word -> what ``encode`` gives for it, in two generations: the older one is forgotten when the younger is full.
 
-    def __init__(self, size: int = GENERATION):
-        self.size, self.young, self.old = size, {}, {}
+    ``turn`` is called between documents, so a document's own words never outgrow it by more than themselves.
+    """
 
-    def settle(self, words, encode) -> dict:
-        """A dict that holds all of ``words``; ``encode`` gives values for a list of unknown ones."""
-        young, old = self.young, self.old
-        need = []
-        for w in words:
-            if w not in young:
-                if w in old:
-                    young[w] = old[w]
-                else:
-                    need.append(w)
-        if need:
-            young.update(zip(need, encode(need), strict=True))
-        if len(young) > self.size:
-            self.old, self.young = young, {}
-        return young
+    def __init__(self, encode, size: int = GENERATION):
+        super().__init__()
+        self.encode, self.size, self.old = encode, size, {}
 
+    def __missing__(self, word):
+        value = self.old.get(word)
+        if value is None:
+            value = self.encode(word)
+        self[word] = value
+        return value
 
-_loaded: dict[str, tuple] = {}
+    def turn(self) -> None:
+        if len(self) > self.size:
+            self.old = dict(self)
+            self.clear()
 
 
-def load(path: str) -> tuple:
-    """(tokenizer, cache) of a .json file, once per process."""
-    if path not in _loaded:
+_loaded: dict[tuple[str, str], tuple] = {}
+
+
+def load(path: str, kind: str = "ids") -> tuple:
+    """(tokenizer, cache) of a .json file, once per process; the cache holds ids as bytes, or counts."""
+    if (path, kind) not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
-        _loaded[path] = (t, Cache())
-    return _loaded[path]
+        pieces, whole = t.model.tokenize, t.encode
+        plain = re.compile("[a-z]+" if kind == "ids" else " ?[a-zA-Z]+").fullmatch
 
+        def ids(word: str) -> bytes:
+            # ASCII letters are what they are to the model; all else goes through the whole tokenizer
+            return id_bytes([x.id for x in pieces(word)] if plain(word) else whole(word, add_special_tokens=False).ids)
 
-def special_strings(tokenizer) -> list[str]:
-    return [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        def count(word: str) -> int:
+            # the model's alphabet has a letter for the space
+            return len(pieces("\u0120" + word[1:] if word[0] == " " else word) if plain(word) else whole(word, add_special_tokens=False).ids)
 
+        _loaded[path, kind] = (t, Cache(ids if kind == "ids" else count))
+    return _loaded[path, kind]
 
-def encode_lists(tokenizer, texts: list[str]) -> list[list[int]]:
-    return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+def special_strings(tokenizer) -> list[str]:
+    return [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
 
 def id_bytes(ids: list[int]) -> bytes:
