@@ -23,10 +23,10 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftmark.llm.shared import held_out, ship
+from siftmark.llm.shared import held_out, ship, sized, trim
 
 #: Bytes of context; documents of each language that are learned from; their least and most code points.
-ORDER, SAMPLE, SAMPLE_CHARS = 3, 300, (100, 20_000)
+ORDER, SAMPLE, SAMPLE_CHARS = 3, 300, (20, 20_000)
 #: Contexts of full order that are seen less often aren't nodes of the tree.
 LEAST = 2
 #: The score weighs evidence as of a text of so many bytes at most, so that it says how far languages are apart.
@@ -130,9 +130,10 @@ class ContextTrees:
         for k in range(1, o):
             context = context * self.size + c[k : k + m]
         cost = self.bits[self.nodes[context], c[o:]].astype(np.float64)
-        ends = np.append(np.asarray(starts[1:]) - o, len(c))
+        starts = np.asarray(starts, np.int64)
+        ends = np.append(starts[1:] - o, len(c))
         total = np.concatenate([np.zeros((1, cost.shape[1])), np.cumsum(cost, axis=0)])
-        return total[ends - o] - total[np.asarray(starts) - o]
+        return total[ends - o] - total[starts - o]
 
 
 def train(docs: DataFrame, order: int = ORDER, sample: int = SAMPLE) -> ContextTrees | None:
@@ -142,7 +143,7 @@ def train(docs: DataFrame, order: int = ORDER, sample: int = SAMPLE) -> ContextT
     # ids are first thinned to about four times the sample of each language, so that few rows are ranked
     count = rows.groupBy("lang").agg(F.count("*").alias("n")).withColumnRenamed("lang", "l")
     rank = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    thin = rows.select("doc_id", "lang").join(count, F.col("lang") == F.col("l")).filter(rank * F.col("n") <= F.lit(4.0 * sample * (1 << 40)))
+    thin = rows.select("doc_id", "lang").join(sized(count, count.count()), F.col("lang") == F.col("l")).filter(rank * F.col("n") <= F.lit(4.0 * sample * (1 << 40)))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(rank, "doc_id"))
     ids = thin.withColumn("nth", nth).filter(F.col("nth") <= sample).select(F.col("doc_id").alias("id")).distinct()
     chosen = rows.join(F.broadcast(ids), rows["doc_id"] == ids["id"], "left_semi")
@@ -185,6 +186,7 @@ def identify(docs: DataFrame, trees: ContextTrees | None) -> DataFrame:
                 part = batch.slice(k, 512)
                 lang, score = predict(shared.value, part.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+        trim()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(docs["doc_id"], held_out(docs["doc_id"]).alias("held_out"), docs["text"])
@@ -196,7 +198,10 @@ def language_id(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """``docs`` with all its columns, less texts that are ``und`` or whose score is under ``least``."""
+    """``docs`` with all its columns, less texts that are ``und`` or whose score is under ``least``.
+
+    Where nothing could be learned, texts with letters stay.
+    """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(train(docs))
     at = docs.columns.index("text")
@@ -205,8 +210,13 @@ def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                lang, score = predict(shared.value, part.column(at).to_pylist())
-                yield part.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(lang, score, strict=True)], pa.bool_()))
+                texts = part.column(at).to_pylist()
+                if shared.value is None:  # nothing could be learned: only texts without letters go
+                    keep = [bool(t and _letter.search(t)) for t in texts]
+                else:
+                    keep = [x != UNKNOWN and s >= least for x, s in zip(*predict(shared.value, texts), strict=True)]
+                yield part.filter(pa.array(keep, pa.bool_()))
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
 
