@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftmark.llm.components import components
-from siftmark.llm.shared import forget, ship, sized, trim, written
+from siftmark.llm.shared import clear, forget, ship, sized, trim, written
 
 #: Words of a shingle; links need NUM/DEN of the union or more.
 WORDS, NUM, DEN = 5, 75, 100
@@ -81,6 +81,7 @@ def _classes(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, n, set) per row; set is 0 for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clear()
         for b in batches:
             sets = [(len(s), set_key(s) if len(s) else 0) for s in (shingles(t, words) for t in _texts(b))]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, pa.int64()) for x in (zip(*sets, strict=True) if sets else ((), ()))]], ["doc_id", "n", "set"])
@@ -112,6 +113,7 @@ def _dealt(docs: DataFrame, n_buckets: int, words: int, num: int, den: int) -> D
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "hashes", "sets"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clear()
         held: dict[int, np.ndarray] = {}
         n = 0
         for b in batches:
@@ -177,6 +179,7 @@ def _tokens(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, n, hashes) of whole sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clear()
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)

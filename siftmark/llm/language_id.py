@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftmark.llm.shared import held_out, ship, sized, trim
+from siftmark.llm.shared import clear, held_out, ship, sized, trim
 
 #: Bytes of context; documents of each language that are learned from; their least and most code points.
 ORDER, SAMPLE, SAMPLE_CHARS = 3, 300, (20, 20_000)
@@ -181,6 +181,7 @@ def identify(docs: DataFrame, trees: ContextTrees | None) -> DataFrame:
     shared = spark.sparkContext.broadcast(trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clear()
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
@@ -207,6 +208,7 @@ def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clear()
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)

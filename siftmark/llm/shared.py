@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import io
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -90,6 +91,12 @@ def sized(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+def clear() -> None:
+    """Empties the word caches that tokenizing tasks have left in a Python worker; for tasks that don't tokenize."""
+    if vocab := sys.modules.get("siftmark.llm.vocab"):
+        vocab.empty()
+
+
 def trim() -> None:
     """Gives freed memory of a Python worker back at the end of a task, as workers live on between tasks."""
     pa.default_memory_pool().release_unused()

@@ -37,7 +37,7 @@ def word_tokens(text: str) -> list[str]:
 
 
 #: Entries of one generation of a cache; two are held.
-GENERATION = 250_000
+GENERATION = 150_000
 
 
 def default_path(name: str) -> str:
@@ -46,6 +46,9 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+_caches: list[Cache] = []
+
+
 class Cache(dict):
     """word -> what ``encode`` gives for it, in two generations: the older one is forgotten when the younger is full.
 
@@ -55,6 +58,7 @@ class Cache(dict):
     def __init__(self, encode, size: int = GENERATION):
         super().__init__()
         self.encode, self.size, self.old = encode, size, {}
+        _caches.append(self)
 
     def __missing__(self, word):
         value = self.old.get(word)
@@ -96,6 +100,13 @@ def load(path: str, kind: str = "ids") -> tuple:
     return _loaded[path, kind]
 
 
+def empty() -> None:
+    """Forgets all words."""
+    for c in _caches:
+        c.clear()
+        c.old = {}
+
+
 def special_strings(tokenizer) -> list[str]:
     return [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
