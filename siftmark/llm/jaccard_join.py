@@ -3,9 +3,10 @@
 1. Each text becomes the set of its distinct word shingles, as 64-bit hashes. Documents with
    the same set make one class, whose smallest doc_id stands for it from then on.
 2. A pair links only if at least 3/4 of either set is shared, so of the ``2p`` lowest hashes
-   of a set (p being the prefix length) p+1 must be shared with other classes. Which hashes
-   are shared is found in buckets of packed arrays; classes that fail are linked with
-   nothing. The survivors' shingles are counted exactly.
+   of a set (p being the prefix length) p+1 must be shared with other classes. Sets deal so
+   many of their lowest hashes that a larger linked set can find as many (``dealt_length``).
+   Which hashes are shared is found in buckets of packed arrays; classes that fail are linked
+   with nothing. The survivors' shingles are counted exactly.
 3. Shingles are ordered by that count, rarest first, and the first p of a set are its prefix:
    linked sets have a shingle of their prefixes in common. Classes with identical prefix and
    size collapse into one group. Groups that share a prefix shingle and whose sizes are within
@@ -23,6 +24,7 @@ tables between the steps lie in the shared folder.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +79,19 @@ def prefix_length(n: int, num: int = NUM, den: int = DEN) -> int:
     return n - -(-n * num // den) + 1
 
 
+@lru_cache(65_536)
+def dealt_length(n: int, num: int = NUM, den: int = DEN) -> int:
+    """Lowest hashes of a set of n to deal, so that every linked set finds shared what it must.
+
+    A set of a >= n hashes must find more than min(2p, a) - p. Of the hashes that both have, at most
+    n - overlap others of the smaller set come before those that it deals.
+    """
+    a = np.arange(n, n * den // num + 1)
+    p = a + 1 + -a * num // den
+    overlap = -(-(a + n) * num // (num + den))
+    return min(n, max(2 * prefix_length(n, num, den), int((np.minimum(2 * p, a) - p + 1 + n - overlap).max())))
+
+
 def _classes(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, n, set) per row; set is 0 for empty sets."""
 
@@ -91,7 +106,7 @@ def _classes(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _dealt(docs: DataFrame, n_buckets: int, words: int, num: int, den: int) -> DataFrame:
-    """Packed (hash, set) pairs of the lowest 2p hashes of each set, by bucket of the hash.
+    """Packed (hash, set) pairs of the lowest ``dealt_length`` hashes of each set, by bucket of the hash.
 
     A hash that several sets of one gathering hold is known to be shared: it is dealt once, with the
     mark SEVERAL for its sets, so a hot hash comes to its bucket once from each gathering. What these
@@ -122,7 +137,7 @@ def _dealt(docs: DataFrame, n_buckets: int, words: int, num: int, den: int) -> D
                 if len(s):
                     k = set_key(s)
                     if k not in held:
-                        held[k] = s[: 2 * prefix_length(len(s), num, den)].copy()
+                        held[k] = s[: dealt_length(len(s), num, den)].copy()
                         n += len(held[k])
                 if n > GATHER:
                     yield out(held)

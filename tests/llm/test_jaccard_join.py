@@ -31,6 +31,29 @@ def test_against_brute_force(spark, monkeypatch, members, gather):
     assert got == links(rows)
 
 
+@pytest.mark.parametrize("copies", [1, 40])
+def test_small_sets_against_brute_force(spark, copies):
+    rows = []
+    for k in range(10):
+        w = [f"w{k}x{i}" for i in range(8)]
+        rows += [(1000 * k + i, " ".join(v)) for i, v in enumerate([w[:7], w] * copies if k % 2 else [w[1:], w] * copies)]
+    for n in (4, 5, 6, 9, 10, 11, 12, 13, 16, 17):  # a text, and less of it from either end
+        w = [f"v{n}x{i}" for i in range(n)]
+        rows += [(100_000 + 100 * n + i, " ".join(v)) for i, v in enumerate([w, w[:-1], w[1:], w[:-2], w[2:], w[:-3]])]
+    got = {r[0]: tuple(r[1:]) for r in J.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == links(rows) and got[1][1:] == (0, 2 * copies - 1)
+
+
+def test_dealt_hashes_show_enough():
+    for n in range(1, 150):
+        for a in range(n, n * 4 // 3 + 1):
+            for both in range(-(-3 * (a + n) // 7), n + 1):
+                da, dn = J.dealt_length(a), J.dealt_length(n)
+                # the fewest hashes of both that lie in both dealt parts, whatever their order
+                seen = min(both if da == a else da - (a - both), both if dn == n else dn - (n - both), both)
+                assert all(seen > min(2 * J.prefix_length(x), x) - J.prefix_length(x) for x in (a, n)), (n, a, both)
+
+
 def test_documents(spark, small):
     df = spark.read.parquet(f"{small}/documents.parquet")
     got = {r[0]: tuple(r[1:]) for r in J.op2_ngram_jaccard_join(spark, small).collect()}
