@@ -1,15 +1,15 @@
 r"""Personal data: base spans by pattern, and terms that reveal them by corpus co-occurrence; DataFrame operations only.
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. Each
-distinct value is a protected entity e. Words within ``CONTEXT`` code points of a base
-span are terms t of its entity, and document frequencies over the whole corpus estimate
-how much of the entity's information content a term discloses:
+distinct value is a protected entity e. Words that stand outside base spans in the texts
+of an entity are its terms t, and document frequencies over the whole corpus estimate how
+much of the entity's information content a term discloses:
 
     disclosure(t, e) = PMI(t, e) / IC(e) = ln(N df(t,e) / (df(t) df(e))) / ln(N / df(e))
 
-It is 1 for a term that occurs nowhere but next to the entity. Terms seen next to an
-entity in ``SUPPORT`` documents or more are generalised from ``GENERALISE`` on and
-removed from ``REMOVE`` on; their occurrences next to the entity become added spans.
+It is 1 for a term that occurs in no text without the entity. Terms that share ``SUPPORT``
+documents or more with an entity are generalised from ``GENERALISE`` on and removed from
+``REMOVE`` on, wherever they occur in any text: all occurrences become added spans.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from siftmark.llm.shared import sized, written
+from siftmark.llm.shared import saved, sized, written
 
 #: Kinds in order, with their patterns. A possessive quantifier stands where giving back can't help; a run is entered
 #: only at its start or where the last match ended, so that long runs cost linear time. Matches are the same as without.
@@ -32,8 +32,8 @@ PATTERNS = {
 #: What a text must hold for a kind to be looked for.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": "+"}
 ADDED = ("generalised", "removed")
-#: Code points of context on either side; least documents of a pair; disclosure from which terms are generalised and removed; least letters of a term.
-CONTEXT, SUPPORT, GENERALISE, REMOVE, LETTERS = 60, 3, 0.8, 0.95, 3
+#: Least documents of a pair; disclosure from which terms are generalised and removed; least letters of a term.
+SUPPORT, GENERALISE, REMOVE, LETTERS = 3, 0.8, 0.95, 3
 PART = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
 
 
@@ -44,7 +44,7 @@ def luhn(digits: Column) -> Column:
 
 
 def matches(text: Column) -> Column:
-    """All pattern matches of a text: array of (kind, nth, value, before, after), where before and after tell of the text between matches.
+    """All pattern matches of a text: array of (kind, nth, value, before), where before is the length of the text since the last match.
 
     Splitting at a pattern gives the text around its matches, so their places are sums of lengths.
     """
@@ -52,34 +52,26 @@ def matches(text: Column) -> Column:
     for k, kind in enumerate(KINDS):
         p = F.lit(PATTERNS[kind])
         there = text.contains(NEEDS[kind]) if len(NEEDS[kind]) == 1 else text.rlike(NEEDS[kind])
-        gaps = F.transform(
-            F.split(text, PATTERNS[kind], -1),
-            lambda g: F.struct(F.length(g).alias("n"), F.left(g, F.lit(CONTEXT)).alias("head"), F.right(g, F.lit(CONTEXT)).alias("tail")),
-        )
+        gaps = F.transform(F.split(text, PATTERNS[kind], -1), F.length)
         values = F.regexp_extract_all(text, p, F.lit(0))
-        n = F.size(values)
-        rows = F.transform(
-            F.arrays_zip(values.alias("v"), F.slice(gaps, F.lit(1), n).alias("b"), F.slice(gaps, F.lit(2), n).alias("a")),
-            _row(k),
-        )
+        rows = F.transform(F.arrays_zip(values.alias("v"), F.slice(gaps, F.lit(1), F.size(values)).alias("b")), _row(k))
         found.append(F.when(there, rows))
     return F.concat(*[F.coalesce(f, F.array().cast(EMPTY)) for f in found])
 
 
 def _row(kind: int):
-    return lambda z, i: F.struct(F.lit(kind).alias("kind"), i.alias("nth"), z["v"].alias("value"), z["b"].alias("before"), z["a"].alias("after"))
+    return lambda z, i: F.struct(F.lit(kind).alias("kind"), i.alias("nth"), z["v"].alias("value"), z["b"].alias("before"))
 
 
-_gap = "struct<n:int,head:string,tail:string>"
-EMPTY = f"array<struct<kind:int,nth:int,value:string,before:{_gap},after:{_gap}>>"
+EMPTY = "array<struct<kind:int,nth:int,value:string,before:int>>"
 
 
 def base_spans(found: DataFrame) -> DataFrame:
-    """A row per valid match of ``found`` (row_id, found): row_id, kind, start, end, value, before, after."""
+    """A row per valid match of ``found`` (row_id, found): row_id, kind, start, end, value."""
     rows = found.select("row_id", F.explode("found").alias("m")).select("row_id", "m.*")
     upto = Window.partitionBy("row_id", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     n = F.length("value")
-    rows = rows.withColumn("end", F.sum(F.col("before.n") + n).over(upto)).withColumn("start", F.col("end") - n)
+    rows = rows.withColumn("end", F.sum(F.col("before") + n).over(upto)).withColumn("start", F.col("end") - n)
     digits = F.regexp_replace("value", "[^0-9]", "")
     k, d = F.col("kind"), F.length(digits)
     valid = (
@@ -88,27 +80,28 @@ def base_spans(found: DataFrame) -> DataFrame:
         | ((k == 2) & d.between(14, 19) & F.when(d.between(14, 19), luhn(digits)).otherwise(F.lit(False)))
         | ((k == 3) & d.between(10, 15))
     )
-    return rows.filter(valid).select("row_id", "kind", "start", "end", "value", "before", "after")
+    return rows.filter(valid).select("row_id", "kind", "start", "end", "value")
 
 
-def _words(text: Column, at: Column, skip_first: Column, skip_last: Column) -> Column:
-    """Letter runs of a short text with their places: array of (term, start)."""
-    parts = F.split(text, r"[^\p{L}]", -1)
-    placed = F.transform(
-        parts, lambda w, i: F.struct(w.alias("term"), (at + i + F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x))).alias("start"))
-    )
-    last = F.size(parts) - 1
-    whole = F.filter(placed, lambda w, i: ~((i == 0) & skip_first) & ~((i == last) & skip_last))
-    return F.filter(whole, lambda w: F.length(w["term"]) >= LETTERS)
+def _terms(text: Column) -> Column:
+    """Distinct terms of a text: its letter runs, in lower case."""
+    return F.array_distinct(F.transform(F.filter(F.split(text, r"[^\p{L}]+"), lambda w: F.length(w) >= LETTERS), F.lower))
 
 
-def context_terms(spans: DataFrame) -> DataFrame:
-    """Terms next to base spans: row_id, entity, term, start, end."""
-    b, a = F.col("before"), F.col("after")
-    left = _words(b["tail"], F.col("start") - F.length(b["tail"]), b["n"] > CONTEXT, F.lit(False))
-    right = _words(a["head"], F.col("end"), F.lit(False), a["n"] > CONTEXT)
-    rows = spans.select("row_id", entity().alias("entity"), F.explode(F.concat(left, right)).alias("w"))
-    return rows.select("row_id", "entity", F.lower("w.term").alias("term"), F.col("w.start").alias("start"), (F.col("w.start") + F.length("w.term")).alias("end"))
+def _replaced(spans: Column, put) -> Column:
+    """Column text with ``put`` of a span in the place of each of ``spans``, which are in order."""
+    # a base span may overlap one of another kind: the text goes on behind the farthest end so far
+    return F.aggregate(
+        spans,
+        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out")),
+        lambda a, s: F.struct(
+            F.greatest(a["at"], s["end"]).alias("at"),
+            F.when(s["start"] < a["at"], a["out"])
+            .otherwise(F.concat(a["out"], F.array(F.substring(F.col("text"), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), put(s))))
+            .alias("out"),
+        ),
+        lambda a: F.concat(F.concat_ws("", a["out"]), F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.lit(2**31 - 1))),
+    )
 
 
 def entity() -> Column:
@@ -116,23 +109,54 @@ def entity() -> Column:
     return F.concat(F.col("kind").cast("string"), F.lit(":"), value)
 
 
-def disclosures(terms: DataFrame, spans: DataFrame, docs: DataFrame, n_docs: int, n_spans: int) -> DataFrame:
-    """(entity, term, disclosure) of pairs with enough support whose disclosure is GENERALISE or more; counts are over all of ``docs``."""
-    of_entity = spans.select("row_id", entity().alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("df_e"))
-    pairs = terms.select("row_id", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("df_te")).filter(F.col("df_te") >= SUPPORT)
-    # a term is at least as frequent as next to entities, and it discloses enough only up to a frequency that follows from the pair:
-    # pairs whose term is more frequent than that already in contexts are done with
-    in_context = terms.select("row_id", "term").distinct().groupBy("term").agg(F.count("*").alias("df_c"))
-    most = F.col("df_te") * F.pow(F.lit(float(n_docs)) / F.col("df_e"), F.lit(1 - GENERALISE)) * (1 + 1e-9)
-    pairs = written(pairs.join(of_entity, "entity").join(in_context, "term").filter(F.col("df_c") <= most).drop("df_c"), "pairs", 2 * CONTEXT // LETTERS * n_spans)
-    candidates = pairs.select(F.col("term").alias("candidate")).distinct()
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
-    kept = words.join(sized(candidates, pairs.count()), F.col("term") == F.col("candidate"), "left_semi")
-    of_term = kept.groupBy("term").agg(F.count("*").alias("df_t"))
-    ic = F.log(F.lit(float(n_docs)) / F.col("df_e"))
-    ratio = (F.log(F.lit(float(n_docs)) * F.col("df_te") / (F.col("df_t") * F.col("df_e").cast("double")))) / ic
-    out = pairs.join(of_term, "term").filter(ic > 0)
-    return out.select("entity", "term", ratio.alias("disclosure")).filter(F.col("disclosure") >= GENERALISE)
+def disclosing(found: DataFrame, spans: DataFrame, texts: DataFrame, n_docs: int, n_spans: int) -> DataFrame | None:
+    """(term, kind) of terms that disclose GENERALISE or more of an entity; None if no entity has support. Counts are over all of ``texts``.
+
+    ``found`` has (row_id, text_hash) and ``texts`` (text_hash, text): equal texts are looked at once and weigh as many as they are.
+    Entities of the same texts have the same terms, so they are one class.
+    """
+    placed = spans.join(found, "row_id")
+    held = placed.select("row_id", "text_hash", entity().alias("entity")).distinct().groupBy("entity", "text_hash").agg(F.count("*").alias("copies"))
+    h = F.col("text_hash")
+    of_entity = held.groupBy("entity").agg(F.sum("copies").alias("df_e"), F.bit_xor(F.xxhash64(h)).alias("a"), F.bit_xor(F.xxhash64(h, F.lit(1))).alias("b"))
+    of_entity = of_entity.filter((F.col("df_e") >= SUPPORT) & (F.col("df_e") < n_docs))
+    held = written(held.join(of_entity, "entity").drop("entity").distinct(), "held", n_spans)
+    most_e = held.agg(F.max("df_e")).first()[0]
+    if most_e is None:
+        return None
+    copies = held.select("text_hash", "copies").distinct()
+    base = placed.groupBy("text_hash").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("base")).join(copies, "text_hash")
+    base = written(base, "held_base", n_spans)
+    source = texts.join(sized(base, n_spans), "text_hash").dropDuplicates(["text_hash"])
+    words = saved(source.select("text_hash", "copies", F.explode(_terms(_replaced(F.col("base"), lambda s: F.lit(" ")))).alias("term")), "words")
+    # a term of enough disclosure is at most so frequent, whatever entity it is of
+    most = most_e**GENERALISE * n_docs ** (1 - GENERALISE) * (1 + 1e-9)
+    candidates = words.groupBy("term").agg(F.sum("copies").alias("c")).filter(F.col("c").between(SUPPORT, most)).select(F.col("term").alias("candidate"))
+    candidates = saved(candidates, "candidates")
+    every = texts.select(F.explode(_terms(F.col("text"))).alias("term"))
+    kept = every.join(sized(candidates, candidates.count()), F.col("term") == F.col("candidate"), "left_semi")
+    of_term = saved(kept.groupBy("term").agg(F.count("*").alias("df_t")).filter(F.col("df_t") <= most), "of_term")
+    pairs = words.drop("copies").join(sized(of_term, of_term.count()), "term").join(held, "text_hash")
+    pairs = pairs.groupBy("a", "b", "df_e", "term", "df_t").agg(F.sum("copies").alias("df_te")).filter(F.col("df_te") >= SUPPORT)
+    n = F.lit(float(n_docs))
+    ratio = F.log(n * F.col("df_te") / (F.col("df_t") * F.col("df_e").cast("double"))) / F.log(n / F.col("df_e"))
+    action = F.max(F.when(F.col("disclosure") >= REMOVE, len(KINDS) + 1).otherwise(len(KINDS)))
+    told = pairs.withColumn("disclosure", ratio).filter(F.col("disclosure") >= GENERALISE).groupBy("term").agg(action.alias("kind"))
+    return saved(told, "told")
+
+
+def occurrences(texts: DataFrame, told: DataFrame) -> DataFrame:
+    """(text_hash, more): all places of the terms of ``told`` in each distinct text that has some, as an array of (start, kind, end)."""
+    n = told.count()
+    every = texts.select("text_hash", F.explode(_terms(F.col("text"))).alias("term"))
+    hit = saved(every.join(sized(told.select("term"), n), "term", "left_semi").select("text_hash").distinct(), "hit")
+    rows = texts.join(sized(hit, hit.count()), "text_hash", "left_semi").dropDuplicates(["text_hash"])
+    # letter runs are one code point apart, so their places are sums of lengths
+    runs = rows.select("text_hash", F.posexplode(F.split("text", r"[^\p{L}]", -1)).alias("i", "w"))
+    upto = Window.partitionBy("text_hash").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    runs = runs.withColumn("end", F.sum(F.length("w")).over(upto) + F.col("i")).filter(F.length("w") >= LETTERS)
+    runs = runs.select("text_hash", F.lower("w").alias("term"), (F.col("end") - F.length("w")).alias("start"), "end").join(sized(told, n), "term")
+    return runs.groupBy("text_hash").agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
@@ -150,18 +174,16 @@ def find_spans(docs: DataFrame) -> DataFrame:
     found = written(rows, "matches", n_docs)
     n = found.agg(F.sum(F.size("found"))).first()[0] or 0
     spans = written(base_spans(found.select("row_id", "found")), "base", n)
-    terms = context_terms(spans)
-    told = disclosures(terms, spans, docs.select(text.alias("text")), n_docs, n)
+    texts = docs.select(F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    told = disclosing(found.select("row_id", "text_hash"), spans, texts, n_docs, n)
     base = spans.groupBy("row_id").agg(
         *[F.count_if(F.col("kind") == k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)],
         F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("base"),
     )
-    action = F.max(F.when(F.col("disclosure") >= REMOVE, len(KINDS) + 1).otherwise(len(KINDS)))
-    added = terms.join(told, ["entity", "term"]).groupBy("row_id", "start", "end").agg(action.alias("kind"))
-    added = added.groupBy("row_id").agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
-    out = found.select("row_id", "doc_id", "text_hash").join(base, "row_id", "left").join(added, "row_id", "left")
-    clear = F.filter("more", lambda m: ~F.exists("base", lambda b: (m["start"] < b["end"]) & (b["start"] < m["end"])))
+    out = found.select("row_id", "doc_id", "text_hash").join(base, "row_id", "left")
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
+    out = out.withColumn("more", none) if told is None else out.join(occurrences(texts, told), "text_hash", "left")
+    clear = F.filter("more", lambda m: ~F.exists("base", lambda b: (m["start"] < b["end"]) & (b["start"] < m["end"])))
     return out.select(
         "doc_id",
         "text_hash",
@@ -191,18 +213,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     marked = docs.withColumn("__text_hash", F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
     out = marked.join(sized(found, size), marked["doc_id"].eqNullSafe(F.col("__id")) & (marked["__text_hash"] == F.col("__hash")), "left")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in (*KINDS, ADDED[0])], F.lit(""))
-    # a base span may overlap one of another kind: the text goes on behind the farthest end so far
-    step = F.aggregate(
-        "__spans",
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda a, s: F.struct(
-            F.greatest(a["at"], s["end"]).alias("at"),
-            F.when(s["start"] < a["at"], a["out"])
-            .otherwise(F.concat(a["out"], F.array(F.substring(F.col("text"), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), names[s["kind"]])))
-            .alias("out"),
-        ),
-        lambda a: F.concat(F.concat_ws("", a["out"]), F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.lit(2**31 - 1))),
-    )
+    step = _replaced(F.col("__spans"), lambda s: names[s["kind"]])
     text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(step)
     return out.select(*[(text.alias(c) if c == "text" else F.col(c)) for c in docs.columns])
 

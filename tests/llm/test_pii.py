@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -40,6 +41,23 @@ def test_revealing_terms(spark):
     assert "Zerko" not in clean[0] and "secret.org" not in clean[0] and "[EMAIL]" in clean[0] and clean[20] == rows[20][1]
 
 
+def test_terms_beyond_the_context(spark):
+    far = "all sorts of words " * 10
+    rows = [(k, f"Zerko signs. {far} 12345678 Write to top@secret.org now, ZERKO {far} Zerko") for k in range(5)]
+    rows += [(5, "Only Zerko is named here."), (6, "zerkos aren't meant, \U0001F600 ZERKO is"), (7, f"{far} 12345678 now")]
+    rows += [(k, f"Write to nobody now, {far} signs {k}") for k in range(8, 200)]
+    df = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string").repartition(3)
+    got = pii.find_spans(df).select("doc_id", "text_hash", "spans").join(df.select("doc_id", "text").distinct(), "doc_id").collect()
+    assert len(got) == len(rows) + 1
+    for r in got:
+        added = [(r["text"][s["start"] : s["end"]].lower(), s["kind"]) for s in r["spans"] if s["kind"] > 3]
+        places = [m.start() for m in re.finditer(r"(?i)\bzerko\b", r["text"])]
+        # in 6 of 8 texts beside the entity: ln(201 * 6 / (8 * 6)) / ln(201 / 6) = 0.918
+        assert added == [("zerko", 4)] * len(places) and [s["start"] for s in r["spans"] if s["kind"] > 3] == places
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    assert not any(re.search(r"(?i)\bzerko\b", t) for t in clean.values()) and clean[5] == "Only [GENERALISED] is named here." and clean[7] == rows[7][1]
+
+
 def test_awkward(spark):
     df = awkward(spark, clash=True)
     assert pii.find_spans(df).count() == len(AWKWARD)
