@@ -74,6 +74,10 @@ def text_hash(c: Column) -> Column:
     return F.md5(c)
 
 
-def shorten(c: Column, most: int = 1000, tail: str = "...[截断]") -> Column:
+#: What a shortened text ends with.
+TAIL = "...[截断]"
+
+
+def shorten(c: Column, most: int = 1000, tail: str = TAIL) -> Column:
     """Texts of more than ``most`` characters cut there, with a tail that says so (the form a remote labeller gets)."""
     return F.when(F.length(c) > most, F.concat(F.left(c, F.lit(most)), F.lit(tail))).otherwise(c)

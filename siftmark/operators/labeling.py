@@ -3,7 +3,8 @@
 A backend is any object with ``answer(texts) -> list[str]``; it is given to the executors,
 so it has to pickle. Calls are retried with linear delays, but not where the answer was
 refused for safety; a refused text is labelled as sensitive. A batch whose answer can't be
-parsed is asked again one by one.
+parsed is asked again one by one. Texts are shortened only where they share the call of
+a labelling batch; asked for alone they are sent whole.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftmark.functions.text import shorten
+from siftmark.functions.text import TAIL
 from siftmark.operators.matching import Lexicon
 
 #: What the message of a refusal holds.
@@ -57,6 +58,8 @@ class LabelTask:
     max_retries: int = 3
     delay_s: float = 0.0
     calls_per_minute: int | None = None
+    #: Characters of a text in a batch of several; None for whole texts.
+    batch_chars: int | None = 1000
 
 
 def pending(rows: DataFrame, done: DataFrame | None, key: str = "id") -> DataFrame:
@@ -67,10 +70,11 @@ def pending(rows: DataFrame, done: DataFrame | None, key: str = "id") -> DataFra
 
 def run_task(rows: DataFrame, backend: LabelBackend, task: LabelTask, done: DataFrame | None = None, key: str = "id") -> DataFrame:
     """Rows still to do with ``<name>_response`` and ``<name>_label``; a label is null where no answer could be read."""
-    todo = pending(rows, done, key).withColumn("__text", shorten(F.col("text")))
-    at = todo.columns.index("__text")
+    todo = pending(rows, done, key)
+    at = todo.columns.index("text")
     schema = T.StructType([*todo.schema.fields, T.StructField("__answer", T.StringType()), T.StructField("__blocked", T.BooleanType())])
     size, tries, delay = task.batch_size, task.max_retries, task.delay_s
+    most = task.batch_chars if size > 1 else None
     pause = 60.0 / task.calls_per_minute if task.calls_per_minute else 0.0
 
     def call(texts: list[str]) -> list[str]:
@@ -103,7 +107,7 @@ def run_task(rows: DataFrame, backend: LabelBackend, task: LabelTask, done: Data
                 last = time.monotonic()
                 part = texts[k : k + size]
                 try:
-                    got = call(part)
+                    got = call([t if most is None or len(t) <= most else t[:most] + TAIL for t in part])
                 except (Refused, RuntimeError):
                     got = []
                 answers += [(a, False) for a in got] if len(got) == len(part) else [one(t) for t in part]
@@ -114,7 +118,7 @@ def run_task(rows: DataFrame, backend: LabelBackend, task: LabelTask, done: Data
     label = task.parse(F.col("__answer"))
     if task.name == "coarse":
         label = F.when(F.col("__blocked"), 1).otherwise(label)
-    return out.withColumn(f"{task.name}_label", label).withColumnRenamed("__answer", f"{task.name}_response").drop("__text", "__blocked")
+    return out.withColumn(f"{task.name}_label", label).withColumnRenamed("__answer", f"{task.name}_response").drop("__blocked")
 
 
 def task_stats(rows: DataFrame, labelled: DataFrame, done: DataFrame | None, name: str, key: str = "id") -> DataFrame:

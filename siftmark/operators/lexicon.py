@@ -45,14 +45,14 @@ def keep_returned(batch: DataFrame, answers: DataFrame, response: str = "respons
 
 def generate(samples: DataFrame, backend: LabelBackend, old: DataFrame | None = None, batch_size: int = 10, max_retries: int = 3) -> DataFrame:
     """New (category, word) rows that a backend names for sample texts of a category (id, text, category), less those of ``old``."""
-    answers = run_task(samples.select("id", "text", "category"), backend, LabelTask("words", lambda c: c, batch_size, max_retries))
+    answers = run_task(samples.select("id", "text", "category"), backend, LabelTask("words", lambda c: c, batch_size, max_retries, batch_chars=None))
     found = words_of_answers(answers, "words_response").distinct()
     return found if old is None else added(old, found)
 
 
 def generate_rules(samples: DataFrame, backend: LabelBackend, max_retries: int = 3) -> DataFrame:
     """(pattern, description) rows of answers whose lines have a bar."""
-    answers = run_task(samples.select("id", "text"), backend, LabelTask("rules", lambda c: c, 1, max_retries))
+    answers = run_task(samples.select("id", "text"), backend, LabelTask("rules", lambda c: c, 1, max_retries, batch_chars=None))
     line = answers.select(F.explode(answer_lines(F.col("rules_response"))).alias("line")).filter(F.contains("line", F.lit("|")))
     parts = F.split("line", r"\|", 2)
     return line.select(strip(parts[0]).alias("pattern"), strip(parts[1]).alias("description")).filter("pattern <> ''").distinct()

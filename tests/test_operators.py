@@ -160,6 +160,30 @@ def test_label_task(spark, mode):
     assert labeling.task_stats(df, out, done, "coarse").first().asDict() == {"total": 6, "skipped": 1, "success": 2, "failed": 1}
 
 
+class LastWord:
+    """Answers with the last word of each text; gives a short batch if told so."""
+
+    def __init__(self, short: bool = False):
+        self.short = short
+
+    def answer(self, texts):
+        return [t.split()[-1] for t in texts][: 1 if self.short else None]
+
+
+def test_only_label_batches_are_shortened(spark):
+    df = spark.createDataFrame([(i, "x " * n + f"end{i}", "c") for i, n in enumerate([5, 497, 2000, 3000])], "id int, text string, category string").coalesce(1)
+    whole = {i: f"end{i}" for i in range(4)}
+
+    def said(backend, **k):
+        return {r["id"]: r["t_response"] for r in labeling.run_task(df, backend, labeling.LabelTask("t", lambda c: c, **k)).collect()}
+
+    assert said(LastWord()) == whole | {2: "...[截断]", 3: "...[截断]"}
+    assert said(LastWord(short=True)) == said(LastWord(), batch_size=1) == whole
+    assert {r["word"] for r in lexicon.generate(df, LastWord()).collect()} == set(whole.values())
+    bars = df.withColumn("text", F.concat("text", F.lit("|d")))
+    assert {r["pattern"] for r in lexicon.generate_rules(bars, LastWord()).collect()} == set(whole.values())
+
+
 def test_subtype_merge(spark):
     rows = spark.createDataFrame([("s0", 1), ("s1", 0), ("s2", 1), ("s3", None), ("s4", 1)], "id string, coarse_label int")
     sub = spark.createDataFrame([("s0", ["porn", "abuse"], "r"), ("s2", ["politics"], "r")], "id string, subtype_label array<string>, subtype_response string")
