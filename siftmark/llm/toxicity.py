@@ -131,7 +131,7 @@ def fit(toxic: list[str], ordinary: list[str], n_toxic: int, n_ordinary: int) ->
     df = Counter(w for t in t_fit for w in set(words(t)) if w not in known)
     least = max(LEAST, math.ceil(SHARE * len(t_fit)))
     marked = [b" " + b" ".join(r) + b" " for t in t_fit if (r := [w for w in words(t) if df[w] >= least])]
-    distance = Distance(trained([w for t in o_fit[:1600] for w in windows(t)], ORDINARY_BYTES), trained(marked, TOXIC_BYTES))
+    distance = Distance(trained([w for t in o_fit for w in windows(t)], ORDINARY_BYTES), trained(marked, TOXIC_BYTES))
     x = np.array([distance.features(t) for t in [*t_cal, *o_cal]], float)
     y = np.array([1.0] * len(t_cal) + [0.0] * len(o_cal))
     # rows weigh as their class has it among all labelled rows

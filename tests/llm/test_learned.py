@@ -104,6 +104,15 @@ def test_toxicity_awkward(spark):
     assert T.score(no_rows(spark), 0.0).count() == 0
 
 
+def test_all_ordinary_fit_texts_train(monkeypatch):
+    seen, trained = [], T.trained
+    monkeypatch.setattr(T, "trained", lambda samples, size: seen.append((size, list(samples))) or trained(samples, size))
+    ordinary = [f"plain text of number{i}" for i in range(3000)]
+    T.fit([f"nasty brute words {i}" for i in range(30)], ordinary, 30, 3000)
+    (samples,) = [x for size, x in seen if size == T.ORDINARY_BYTES]
+    assert samples == [w for i, t in enumerate(ordinary) if i % 3 for w in T.windows(t)]
+
+
 def test_windows_cover_the_text():
     text = "One two  three " * 30 + "x" * 500
     w = T.windows(text)
