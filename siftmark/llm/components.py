@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftmark.llm.shared import forget, written
+from siftmark.llm.shared import forget, saved
 
 
 def _towards(edges: DataFrame, larger: bool) -> DataFrame:
@@ -22,20 +22,18 @@ def _towards(edges: DataFrame, larger: bool) -> DataFrame:
     return out.filter("a <> b").distinct()
 
 
-def components(edges: DataFrame, rows: int) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of the edges (a, b), two longs; root is the smallest node of its component.
 
-    ``rows`` is a bound on the number of edges, for the tables between rounds; rounds never add edges.
-
     Large-star and small-star rounds alternate until the edges are stars around their roots;
     edges are written to the shared folder after each pair of rounds. Nodes are never gathered
     by neighbour: a node with very many edges is aggregated before it is shuffled, and the
     joins can be split by adaptive execution. An empty table gives an empty table.
     """
-    now = written(edges.select("a", "b").filter("a <> b").distinct(), "edges", rows)
+    now = saved(edges.select("a", "b").filter("a <> b").distinct(), "edges")
     state = None
     while True:
-        new = written(_towards(_towards(now, True), False), "stars", rows)
+        new = saved(_towards(_towards(now, True), False), "stars")
         r = new.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         forget(now)
         now = new

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftmark.llm.shared import sized, written
+from siftmark.llm.shared import saved, sized
 
 #: Runs that one round merges into one.
 FAN_IN = 8
@@ -66,7 +66,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     row read. A null text counts as empty and all empty texts are one group; of repeated rows
     one is kept. An empty table gives an empty table.
     """
-    runs = written(digest_runs(docs), "runs", docs.count())
+    runs = saved(digest_runs(docs), "runs")
     top = runs.agg(F.max("run")).first()[0]
     best = merge_runs(runs, 1 + (top or 0)).filter("group_size > 1")
     best = best.select(
@@ -98,10 +98,10 @@ def dedup_filter(docs: DataFrame) -> DataFrame:
     in all three one stays.
     """
     rows = docs.count()
-    found = written(exact_dedup(docs), "dedup", rows)
+    found = saved(exact_dedup(docs), "dedup")
     key = ["__id", "__check", "__n"]
     keyed = found.select(F.col("doc_id").alias("__id"), F.col("check").alias("__check"), F.col("chars").alias("__n"), "kept")
-    gone, stay = written(keyed.filter(~F.col("kept")).drop("kept").distinct(), "gone", rows), keyed.filter("kept").drop("kept")
+    gone, stay = saved(keyed.filter(~F.col("kept")).drop("kept").distinct(), "gone"), keyed.filter("kept").drop("kept")
     text = F.coalesce(docs["text"], F.lit(""))
     marked = docs.withColumns({"__d_check": F.xxhash64(F.translate(text, BLANKS, "")), "__d_n": F.length(text)})
     here = [marked["doc_id"], marked["__d_check"], marked["__d_n"]]
@@ -111,7 +111,7 @@ def dedup_filter(docs: DataFrame) -> DataFrame:
         return marked.join(sized(keys, rows), on, how)
 
     same = [gone["__id"].eqNullSafe(stay["__id"]), gone["__check"] == stay["__check"], gone["__n"] == stay["__n"]]
-    repeats = written(gone.join(stay, same, "left_semi"), "repeats", rows)
+    repeats = saved(gone.join(stay, same, "left_semi"), "repeats")
     n, n_repeats = gone.count(), repeats.count()
     if not n_repeats:
         return among(gone, n, "left_anti").select(*docs.columns)

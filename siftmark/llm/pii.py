@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from siftmark.llm.shared import saved, sized, written
+from siftmark.llm.shared import saved, sized
 
 #: Kinds in order, with their patterns. A possessive quantifier stands where giving back can't help; a run is entered
 #: only at its start or where the last match ended, so that long runs cost linear time. Matches are the same as without.
@@ -120,13 +120,13 @@ def disclosing(found: DataFrame, spans: DataFrame, texts: DataFrame, n_docs: int
     h = F.col("text_hash")
     of_entity = held.groupBy("entity").agg(F.sum("copies").alias("df_e"), F.bit_xor(F.xxhash64(h)).alias("a"), F.bit_xor(F.xxhash64(h, F.lit(1))).alias("b"))
     of_entity = of_entity.filter((F.col("df_e") >= SUPPORT) & (F.col("df_e") < n_docs))
-    held = written(held.join(of_entity, "entity").drop("entity").distinct(), "held", n_spans)
+    held = saved(held.join(of_entity, "entity").drop("entity").distinct(), "held")
     most_e = held.agg(F.max("df_e")).first()[0]
     if most_e is None:
         return None
     copies = held.select("text_hash", "copies").distinct()
     base = placed.groupBy("text_hash").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("base")).join(copies, "text_hash")
-    base = written(base, "held_base", n_spans)
+    base = saved(base, "held_base")
     source = texts.join(sized(base, n_spans), "text_hash").dropDuplicates(["text_hash"])
     words = saved(source.select("text_hash", "copies", F.explode(_terms(_replaced(F.col("base"), lambda s: F.lit(" ")))).alias("term")), "words")
     # a term of enough disclosure is at most so frequent, whatever entity it is of
@@ -171,9 +171,9 @@ def find_spans(docs: DataFrame) -> DataFrame:
     text = F.coalesce(docs["text"], F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), docs["doc_id"].alias("doc_id"), F.xxhash64(text).alias("text_hash"), matches(text).alias("found"))
     n_docs = docs.count()
-    found = written(rows, "matches", n_docs)
+    found = saved(rows, "matches")
     n = found.agg(F.sum(F.size("found"))).first()[0] or 0
-    spans = written(base_spans(found.select("row_id", "found")), "base", n)
+    spans = saved(base_spans(found.select("row_id", "found")), "base")
     texts = docs.select(F.xxhash64(text).alias("text_hash"), text.alias("text"))
     told = disclosing(found.select("row_id", "text_hash"), spans, texts, n_docs, n)
     base = spans.groupBy("row_id").agg(
@@ -208,7 +208,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     found = find_spans(docs).filter(F.size("spans") > 0)
     # rows that repeat have the same spans
     found = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__hash"])
-    found = written(found, "found", rows)
+    found = saved(found, "found")
     size = found.agg(F.count("*") + F.sum(F.size("__spans"))).first()[0] or 0  # rows and spans, of a few words each
     marked = docs.withColumn("__text_hash", F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
     out = marked.join(sized(found, size), marked["doc_id"].eqNullSafe(F.col("__id")) & (marked["__text_hash"] == F.col("__hash")), "left")

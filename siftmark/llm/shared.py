@@ -8,6 +8,8 @@ import sys
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -17,9 +19,6 @@ from pyspark.sql import functions as F
 #: A side of a join is broadcast if it has at most so many narrow rows (two longs: 32 MB); beyond, both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 
-#: Rows of a table between two steps that one file holds.
-ROWS_A_FILE = 2_000_000
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as spark.checkpoint.dir names it.
@@ -36,32 +35,68 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str, rows: int) -> DataFrame:
+def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: its lineage ends here and it is computed once.
 
-    ``rows`` is a bound on its rows, from which the number of files follows: small tables are one file,
-    however many tasks made them.
+    It has a file per partition of ``df``, so no rows move for it; small shuffled tables have few, as adaptive execution
+    joins small partitions. The folder of an application is deleted at its end, tables that nothing reads by
+    :func:`forget` or :func:`scratch` before.
     """
-    return saved(df.repartition(max(1, -(-rows // ROWS_A_FILE))), name)
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """As :func:`written`, with a file per partition, for tables with texts."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/siftmark/{uuid.uuid4().hex}-{name}"
+    sc = spark.sparkContext
+    folder = f"{shared_dir(spark)}/siftmark-{sc.applicationId}"
+    path = f"{folder}/{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
+    if not hasattr(sc, "_siftmark_tables"):
+        sc._siftmark_tables = []
+        fs, p = _file(spark, folder)
+        fs.deleteOnExit(p)
+    sc._siftmark_tables.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._siftmark_path = path
     return out
 
 
+def _file(spark: SparkSession, path: str) -> tuple:
+    """(file system, path) of the JVM."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
+
+
 def forget(*frames: DataFrame) -> None:
-    """Deletes tables of :func:`written` that nothing reads any more."""
+    """Deletes tables of :func:`saved` that nothing reads any more."""
     for df in frames:
-        path = df._siftmark_path
-        jvm = df.sparkSession.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+        _delete(df.sparkSession, df._siftmark_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    made = getattr(spark.sparkContext, "_siftmark_tables", [])
+    if path in made:
+        made.remove(path)
+        fs, p = _file(spark, path)
+        fs.delete(p, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator:
+    """Tables saved inside are deleted at its end, but for those given to what it yields."""
+    before = set(getattr(spark.sparkContext, "_siftmark_tables", []))
+
+    def keep(df: DataFrame) -> DataFrame:
+        before.add(df._siftmark_path)
+        return df
+
+    yield keep
+    for path in [p for p in getattr(spark.sparkContext, "_siftmark_tables", []) if p not in before]:
+        _delete(spark, path)
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, made longer until it is not among ``columns``; names differ by more than case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def ship(spark: SparkSession) -> None:

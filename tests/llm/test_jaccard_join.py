@@ -26,6 +26,7 @@ def family_rows():
 def test_against_brute_force(spark, monkeypatch, members, gather):
     monkeypatch.setattr(J, "BLOCK_MEMBERS", members)
     monkeypatch.setattr(J, "GATHER", gather)
+    monkeypatch.setattr(J, "CHUNK", members // 4)
     rows = family_rows()
     got = {r[0]: tuple(r[1:]) for r in J.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
     assert got == links(rows)
@@ -54,6 +55,31 @@ def test_dealt_hashes_show_enough():
                 assert all(seen > min(2 * J.prefix_length(x), x) - J.prefix_length(x) for x in (a, n)), (n, a, both)
 
 
+def test_templates_are_filtered_as_groups(spark, monkeypatch):
+    monkeypatch.setattr(J, "CHUNK", 50)
+    shared = [f"t{i}" for i in range(160)]
+    rows = [(k, " ".join([*shared, *(f"u{k}x{i}" for i in range(40))])) for k in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["n_links"] for r in J.jaccard_join(df).collect()} == {0}
+    rows += [(1000 + k, " ".join([*shared[k % 7 :], *(f"v{k}x{i}" for i in range(10 + k % 30))])) for k in range(150)]
+    got = {r[0]: tuple(r[1:]) for r in J.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == links(rows)
+
+
+def test_no_block_pair_passes_for_a_template(spark):
+    freq = [[150] * 40]
+    rows = [(200, k, k, 1, [*range(40)], freq[0], 160, 500 + k, 1) for k in range(50)]
+    groups = spark.createDataFrame(rows, "n long, prefix long, g long, m long, hashes array<long>, frequency array<long>, shared long, blk long, k long")
+    # 160 of 200 are shared at most and 172 would have to be
+    assert J._block_pairs(groups, J.NUM, J.DEN).count() == 0
+    assert J._block_pairs(groups.selectExpr("n", "prefix", "g", "m", "hashes", "frequency", "172L AS shared", "blk", "k"), J.NUM, J.DEN).count() == 50 * 49 // 2
+
+
+def test_text_ids_are_refused(spark):
+    with pytest.raises(ValueError):
+        J.jaccard_join(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_documents(spark, small):
     df = spark.read.parquet(f"{small}/documents.parquet")
     got = {r[0]: tuple(r[1:]) for r in J.op2_ngram_jaccard_join(spark, small).collect()}
