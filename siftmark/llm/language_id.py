@@ -9,8 +9,12 @@ languages are laid out as one table (context node, byte) -> bits per language, a
 exact code length of a text is a sum of table rows. The language with the shortest code
 is predicted.
 
-The trees are fitted on a bounded sample: the ``SAMPLE`` documents of each language whose
-ids hash lowest, among those of ``SAMPLE_CHARS`` code points; every text is scored whole.
+The trees are fitted on a bounded sample: the ``SAMPLE`` texts of each language whose ids
+hash lowest (fewer where there are so many languages that this were over ``SAMPLE_ALL``).
+Texts of every length are learned from; one over ``SAMPLE_CHARS`` code points gives
+``WINDOWS`` windows, dealt evenly over all of it, of so many together. The table is bounded
+by ``CELLS``: where it would be larger, contexts are left out, rarest first. Every text is
+scored whole.
 """
 
 from __future__ import annotations
@@ -20,13 +24,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftmark.llm.shared import clear, held_out, ship, sized, trim
 
-#: Bytes of context; documents of each language that are learned from; their least and most code points.
-ORDER, SAMPLE, SAMPLE_CHARS = 3, 300, (20, 20_000)
+#: Bytes of context; texts of each language and of all together that are learned from; code points of one text and the windows of longer ones.
+ORDER, SAMPLE, SAMPLE_ALL, SAMPLE_CHARS, WINDOWS = 3, 300, 30_000, 20_000, 10
+#: Numbers of the table of costs (128 MB), which is broadcast; the table of contexts takes 67 MB at most for ORDER bytes.
+CELLS = 1 << 25
 #: Contexts of full order that are seen less often aren't nodes of the tree.
 LEAST = 2
 #: The score weighs evidence as of a text of so many bytes at most, so that it says how far languages are apart.
@@ -42,7 +48,7 @@ _letter = regex.compile(r"\p{L}")
 class ContextTrees:
     """The trees of all languages: ``nodes[context]`` is the longest known suffix, ``bits[node, byte]`` the costs."""
 
-    def __init__(self, texts: dict[str, list[bytes]], order: int = ORDER, least: int = LEAST):
+    def __init__(self, texts: dict[str, list[bytes]], order: int = ORDER, least: int = LEAST, cells: int = CELLS):
         self.langs, self.order = sorted(texts), order
         joined = {k: np.frombuffer(b"".join(b"\n" * order + t for t in v), np.uint8) for k, v in texts.items()}
         seen = np.unique(np.concatenate([*joined.values(), np.array([10], np.uint8)]))
@@ -51,10 +57,15 @@ class ContextTrees:
         self.code[seen] = np.arange(1, len(seen) + 1)
         a = self.size = len(seen) + 1
         data = {k: self.code[v].astype(np.int64) for k, v in joined.items()}
-        contexts = [np.zeros(1, np.int64)]
-        for k in range(1, order + 1):
-            found, n = np.unique(np.concatenate([self._grams(d, k) for d in data.values()] or [np.zeros(0, np.int64)]), return_counts=True)
-            contexts.append(found[n >= (least if k == order else 1)])
+        counted = [np.unique(np.concatenate([self._grams(d, k) for d in data.values()] or [np.zeros(0, np.int64)]), return_counts=True) for k in range(1, order + 1)]
+        times = 1
+        while True:
+            # a context is seen no more often than its suffixes, so they are nodes where it is one
+            wanted = [times * (least if k == order else 1) for k in range(1, order + 1)]
+            contexts = [np.zeros(1, np.int64), *[found[n >= w] for (found, n), w in zip(counted, wanted, strict=True)]]
+            if sum(map(len, contexts)) * a * len(self.langs) <= cells or not any(map(len, contexts[1:])):
+                break
+            times *= 2
         first = np.cumsum([0, *map(len, contexts)])
         self.nodes = np.zeros(a**order, np.int32)
         whole = np.arange(a**order)
@@ -136,21 +147,32 @@ class ContextTrees:
         return total[ends - o] - total[starts - o]
 
 
+def _excerpt(text: Column) -> Column:
+    """What is learned from of a text, as an array: all of it, or windows of a long one."""
+    n, size = F.length(text), SAMPLE_CHARS // WINDOWS
+    windows = [F.substring(text, (F.floor((n - size) * k / F.lit(WINDOWS - 1)) + 1).cast("int"), F.lit(size)) for k in range(WINDOWS)]
+    return F.when(n <= SAMPLE_CHARS, F.array(text)).otherwise(F.array(*windows))
+
+
 def train(docs: DataFrame, order: int = ORDER, sample: int = SAMPLE) -> ContextTrees | None:
-    """Trees from rows that may be learned from; None if there are none."""
+    """Trees from rows that may be learned from, of any length; None if there are none."""
     rows = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"), docs["lang"].alias("lang"))
-    rows = rows.filter(F.col("lang").isNotNull() & ~held_out("doc_id") & F.length("text").between(*SAMPLE_CHARS))
-    # ids are first thinned to about four times the sample of each language, so that few rows are ranked
+    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id"))
+    # rows are first thinned to about four times the sample of each language, so that few are ranked
     count = rows.groupBy("lang").agg(F.count("*").alias("n")).withColumnRenamed("lang", "l")
+    n_langs = count.count()
+    sample = max(1, min(sample, SAMPLE_ALL // max(1, n_langs)))
     rank = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    thin = rows.select("doc_id", "lang").join(sized(count, count.count()), F.col("lang") == F.col("l")).filter(rank * F.col("n") <= F.lit(4.0 * sample * (1 << 40)))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(rank, "doc_id"))
-    ids = thin.withColumn("nth", nth).filter(F.col("nth") <= sample).select(F.col("doc_id").alias("id")).distinct()
-    chosen = rows.join(F.broadcast(ids), rows["doc_id"] == ids["id"], "left_semi")
-    texts: dict[str, dict[bytes, None]] = {}
-    for r in sorted(chosen.select("doc_id", "lang", "text").collect(), key=lambda r: (r["doc_id"], r["text"])):
-        texts.setdefault(r["lang"], {})[r["text"].encode()] = None  # copies are learned from once
-    return ContextTrees({k: list(v) for k, v in texts.items()}, order) if texts else None
+    thin = rows.join(sized(count, n_langs), F.col("lang") == F.col("l")).filter(rank * F.col("n") <= F.lit(4.0 * sample * (1 << 40)))
+    thin = thin.select("doc_id", "lang", rank.alias("rank"), F.xxhash64("text").alias("copy"), _excerpt(F.col("text")).alias("text"))
+    # copies are learned from once; rows of one id with other texts are ranked by these
+    thin = thin.dropDuplicates(["lang", "copy"])
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("rank", "doc_id", "copy"))
+    chosen = thin.withColumn("nth", nth).filter(F.col("nth") <= sample).select("lang", "nth", "text")
+    texts: dict[str, list[bytes]] = {}
+    for r in sorted(chosen.collect(), key=lambda r: (r["lang"], r["nth"])):
+        texts.setdefault(r["lang"], []).extend(t.encode() for t in r["text"])
+    return ContextTrees(texts, order) if texts else None
 
 
 def predict(trees: ContextTrees | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -172,7 +194,8 @@ def identify(docs: DataFrame, trees: ContextTrees | None) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, lang_pred, score.
 
     Only doc_id and text are read. A null text, an empty one and one without any letter are
-    ``und`` with score 0; so is every text if nothing could be learned. Equal code lengths go
+    ``und`` with score 0; so is every text if no row could be learned from, and no other text
+    is. Equal code lengths go
     to the language whose name sorts first. Texts of any length are coded whole, in steps of
     bounded size. An empty table gives an empty table.
     """

@@ -7,6 +7,8 @@ import zlib
 from collections import Counter
 
 import pytest
+import regex
+from pyspark.sql import functions as F
 
 from siftmark.llm import language_id as L
 from siftmark.llm import toxicity as T
@@ -63,6 +65,104 @@ def test_long_texts_go_in_steps(monkeypatch):
     assert trees.code_lengths([text]) == pytest.approx(whole, abs=1e-2)
 
 
+class SlowTrees:
+    """The same statistics by counting, for the predictions of whole tables."""
+
+    def __init__(self, samples: dict[str, list[bytes]], order: int, least: int):
+        self.order, self.langs = order, sorted(samples)
+        self.tables = {}
+        every: list[Counter] = [Counter() for _ in range(order + 1)]
+        for lang, texts in samples.items():
+            joined = b"".join(b"\n" * order + t for t in texts)
+            self.tables[lang] = [{} for _ in range(order + 1)]
+            for k in range(order + 1):
+                for i in range(k, len(joined)):
+                    self.tables[lang][k].setdefault(joined[i - k : i], Counter())[joined[i]] += 1
+                every[k].update(joined[i : i + k] for i in range(len(joined) - k + 1))
+        self.known = [{c for c, n in every[k].items() if n >= (least if k == order else 1)} for k in range(order + 1)]
+        self.cache: dict = {}
+
+    def cost(self, lang: str, context: bytes, s: int) -> float:
+        key = (lang, context, s)
+        if key not in self.cache:
+            while context and context not in self.known[len(context)]:
+                context = context[1:]
+            self.cache[key] = self.walk(lang, context, s)
+        return self.cache[key]
+
+    def walk(self, lang: str, c: bytes, s: int) -> float:
+        seen = self.tables[lang][len(c)].get(c)
+        if seen and s in seen:
+            return -math.log2(seen[s] / (seen.total() + len(seen)))
+        down = self.walk(lang, c[1:], s) if c else 8.0
+        return down - math.log2(len(seen) / (seen.total() + len(seen))) if seen else down
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        if not text or not regex.search(r"\p{L}", text):
+            return "und", 0.0
+        raw = b"\n" * self.order + text.encode()
+        n = len(raw) - self.order
+        bits = [sum(self.cost(lang, raw[i - self.order : i], raw[i]) for i in range(self.order, len(raw))) for lang in self.langs]
+        odds = [(b - min(bits)) * min(n, L.WEIGHT_BYTES) / n for b in bits]
+        return self.langs[bits.index(min(bits))], 1 / sum(2.0 ** -min(1000, o) for o in odds)
+
+
+def test_predictions_against_brute_force(spark):
+    d = str(DATA / "sf0.001")
+    rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang").collect()
+    samples: dict[str, dict[bytes, None]] = {}
+    for r in rows:
+        if r["lang"] is not None and r["text"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            assert len(r["text"]) <= L.SAMPLE_CHARS
+            samples.setdefault(r["lang"], {})[r["text"].encode()] = None
+    assert max(map(len, samples.values())) <= L.SAMPLE
+    slow = SlowTrees({k: list(v) for k, v in samples.items()}, L.ORDER, L.LEAST)
+    got = {r["doc_id"]: r for r in L.op10_language_id(spark, d).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        lang, score = slow.predict(r["text"])
+        assert got[r["doc_id"]]["lang_pred"] == lang and got[r["doc_id"]]["score"] == pytest.approx(score, abs=0.02)
+
+
+EN, FR = "the house of the dog is near the old town and the river", "la maison du chien est dans la vieille ville avec une rivière"
+
+
+@pytest.mark.parametrize("kind", ["short", "long", "one row", "mixed"])
+def test_languages_of_any_length_are_learned(spark, kind):
+    en, fr = EN.split(), FR.split()
+    if kind == "short":
+        rows = [(k, en[k % len(en)], "en") for k in range(40)] + [(100 + k, fr[k % len(fr)], "fr") for k in range(40)]
+    elif kind == "long":
+        rows = [(k, (EN + f" {k} ") * 700, "en") for k in range(4)] + [(100 + k, (FR + f" {k} ") * 700, "fr") for k in range(4)]
+    elif kind == "one row":
+        rows = [(1, EN, "en"), (4, FR, "fr")]
+    else:
+        rows = [(k, (EN + f" {k} ") * 700, "en") for k in range(4)] + [(100 + k, fr[k % len(fr)], "fr") for k in range(40)]
+    rows = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    assert {r[2] for r in rows} == {"en", "fr"}
+    asked = [(1000, EN, None), (1001, FR, None), (1002, "ж", None), (1003, "12 !", None), (1004, "", None), (1005, EN * 3000, "x" if kind == "short" else None)]
+    df = spark.createDataFrame([*rows, *asked], "doc_id long, text string, lang string").repartition(3)
+    got = {r["doc_id"]: r["lang_pred"] for r in L.language_id(df).collect()}
+    learned = {r[2] for r in rows} | {x for i, _, x in asked if x and zlib.crc32(str(i).encode()) % 4 != 2}
+    assert got[1000] in ({"en", "x"} if kind == "short" else {"en"}) and got[1001] == "fr" and got[1003] == got[1004] == "und"
+    assert all(v in learned for i, v in got.items() if i not in (1003, 1004))
+
+
+def test_long_texts_give_windows(spark):
+    text = "".join(chr(0x4E00 + k % 5000) for k in range(2 * L.SAMPLE_CHARS))
+    (got,) = spark.createDataFrame([(text,)], "t string").select(L._excerpt(F.col("t"))).first()
+    size = L.SAMPLE_CHARS // L.WINDOWS
+    assert [len(w) for w in got] == [size] * L.WINDOWS and text.startswith(got[0]) and text.endswith(got[-1]) and all(w in text for w in got)
+
+
+def test_table_stays_bounded():
+    texts = {f"l{j}": [bytes((7 * i * (j + 3)) % 251 for i in range(3000))] for j in range(5)}
+    small = L.ContextTrees(texts, cells=50_000)
+    assert small.bits.size <= 50_000 < L.ContextTrees(texts).bits.size
+    got = small.code_lengths([texts["l2"][0]])[0]
+    assert small.langs[got.argmin()] == "l2"
+
+
 def test_language_held_out(spark):
     d = str(DATA / "sf0.01")
     docs = spark.read.parquet(f"{d}/documents.parquet")
