@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from siftmark.llm.shared import saved, sized
+from siftmark.llm.shared import BROADCAST_ROWS, fresh, saved, scratch, sized
 
 #: Kinds in order, with their patterns. A possessive quantifier stands where giving back can't help; a run is entered
 #: only at its start or where the last match ended, so that long runs cost linear time. Matches are the same as without.
@@ -34,6 +34,8 @@ NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "ph
 ADDED = ("generalised", "removed")
 #: Least documents of a pair; disclosure from which terms are generalised and removed; least letters of a term.
 SUPPORT, GENERALISE, REMOVE, LETTERS = 3, 0.8, 0.95, 3
+#: Code points of the blocks that a text is cut into where spans are replaced.
+BLOCK = 1024
 PART = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
 
 
@@ -43,6 +45,11 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, x: a + F.when(x > 9, x - 9).otherwise(x)) % 10 == 0
 
 
+def text_key(text: Column) -> Column:
+    """Two independent hashes, 96 bits, that stand for a text."""
+    return F.struct(F.xxhash64(text).alias("a"), F.hash(text).alias("b"))
+
+
 def matches(text: Column) -> Column:
     """All pattern matches of a text: array of (kind, nth, value, before), where before is the length of the text since the last match.
 
@@ -67,7 +74,7 @@ EMPTY = "array<struct<kind:int,nth:int,value:string,before:int>>"
 
 
 def base_spans(found: DataFrame) -> DataFrame:
-    """A row per valid match of ``found`` (row_id, found): row_id, kind, start, end, value."""
+    """A row per valid match of ``found`` (row_id, found): row_id, kind, start, end, value, and at, the farthest end of spans before it."""
     rows = found.select("row_id", F.explode("found").alias("m")).select("row_id", "m.*")
     upto = Window.partitionBy("row_id", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     n = F.length("value")
@@ -80,7 +87,9 @@ def base_spans(found: DataFrame) -> DataFrame:
         | ((k == 2) & d.between(14, 19) & F.when(d.between(14, 19), luhn(digits)).otherwise(F.lit(False)))
         | ((k == 3) & d.between(10, 15))
     )
-    return rows.filter(valid).select("row_id", "kind", "start", "end", "value")
+    before = Window.partitionBy("row_id").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.coalesce(F.max("end").over(before), F.lit(0)).alias("at")
+    return rows.filter(valid).select("row_id", "kind", "start", "end", "value", at)
 
 
 def _terms(text: Column) -> Column:
@@ -88,20 +97,26 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(F.split(text, r"[^\p{L}]+"), lambda w: F.length(w) >= LETTERS), F.lower))
 
 
-def _replaced(spans: Column, put) -> Column:
-    """Column text with ``put`` of a span in the place of each of ``spans``, which are in order."""
-    # a base span may overlap one of another kind: the text goes on behind the farthest end so far
-    return F.aggregate(
-        spans,
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda a, s: F.struct(
-            F.greatest(a["at"], s["end"]).alias("at"),
-            F.when(s["start"] < a["at"], a["out"])
-            .otherwise(F.concat(a["out"], F.array(F.substring(F.col("text"), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), put(s))))
-            .alias("out"),
-        ),
-        lambda a: F.concat(F.concat_ws("", a["out"]), F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.lit(2**31 - 1))),
-    )
+def _between(blocks: Column, lo: Column, hi: Column) -> Column:
+    """Code points lo to hi of a text that is cut into ``blocks`` of BLOCK; costs what it gives and two blocks."""
+    first = F.floor(lo / BLOCK)
+    part = F.array_join(F.slice(blocks, (first + 1).cast("int"), (F.ceil(hi / BLOCK) - first).cast("int")), "")
+    return F.when(hi > lo, F.substring(part, (lo - first * BLOCK + 1).cast("int"), (hi - lo).cast("int"))).otherwise(F.lit(""))
+
+
+def _replaced(text: Column, spans: Column, put) -> Column:
+    """``text`` with ``put`` of a span in the place of each of ``spans``, which are in order and have ``at``, the farthest end before them.
+
+    A base span may overlap one of another kind; what starts before ``at`` gives nothing, and the text goes on behind the
+    farthest end. Time grows with the text and with the number of spans, not with their product.
+    """
+    # as the variable of a function the blocks are made once, not for every span
+    def joined(blocks: Column) -> Column:
+        one = F.transform(spans, lambda s: F.when(s["start"] >= s["at"], F.concat(_between(blocks, s["at"], s["start"]), put(s))).otherwise(F.lit("")))
+        last = F.element_at(spans, -1)
+        return F.concat(F.concat_ws("", one), _between(blocks, F.greatest(last["at"], last["end"]), F.length(text).cast("bigint")))
+
+    return F.transform(F.array(F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % BLOCK), F.lit(0))), joined)[0]
 
 
 def entity() -> Column:
@@ -125,10 +140,11 @@ def disclosing(found: DataFrame, spans: DataFrame, texts: DataFrame, n_docs: int
     if most_e is None:
         return None
     copies = held.select("text_hash", "copies").distinct()
-    base = placed.groupBy("text_hash").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("base")).join(copies, "text_hash")
+    base = placed.groupBy("text_hash").agg(F.sort_array(F.collect_set(F.struct("start", "kind", "end", "at"))).alias("base")).join(copies, "text_hash")
     base = saved(base, "held_base")
     source = texts.join(sized(base, n_spans), "text_hash").dropDuplicates(["text_hash"])
-    words = saved(source.select("text_hash", "copies", F.explode(_terms(_replaced(F.col("base"), lambda s: F.lit(" ")))).alias("term")), "words")
+    outside = _replaced(F.col("text"), F.col("base"), lambda s: F.lit(" "))
+    words = saved(source.select("text_hash", "copies", F.explode(_terms(outside)).alias("term")), "words")
     # a term of enough disclosure is at most so frequent, whatever entity it is of
     most = most_e**GENERALISE * n_docs ** (1 - GENERALISE) * (1 + 1e-9)
     candidates = words.groupBy("term").agg(F.sum("copies").alias("c")).filter(F.col("c").between(SUPPORT, most)).select(F.col("term").alias("candidate"))
@@ -146,7 +162,7 @@ def disclosing(found: DataFrame, spans: DataFrame, texts: DataFrame, n_docs: int
 
 
 def occurrences(texts: DataFrame, told: DataFrame) -> DataFrame:
-    """(text_hash, more): all places of the terms of ``told`` in each distinct text that has some, as an array of (start, kind, end)."""
+    """(text_hash, kind, start, end): all places of the terms of ``told`` in each distinct text."""
     n = told.count()
     every = texts.select("text_hash", F.explode(_terms(F.col("text"))).alias("term"))
     hit = saved(every.join(sized(told.select("term"), n), "term", "left_semi").select("text_hash").distinct(), "hit")
@@ -156,41 +172,60 @@ def occurrences(texts: DataFrame, told: DataFrame) -> DataFrame:
     upto = Window.partitionBy("text_hash").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     runs = runs.withColumn("end", F.sum(F.length("w")).over(upto) + F.col("i")).filter(F.length("w") >= LETTERS)
     runs = runs.select("text_hash", F.lower("w").alias("term"), (F.col("end") - F.length("w")).alias("start"), "end").join(sized(told, n), "term")
-    return runs.groupBy("text_hash").agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
+    return runs.select("text_hash", "kind", "start", "end")
+
+
+def _clear(base: DataFrame, more: DataFrame) -> DataFrame:
+    """``base`` (text_hash, kind, start, end) and those of ``more`` that overlap none of them, with at; a pass over them in order."""
+    both = base.unionByName(more)
+    order = Window.partitionBy("text_hash").orderBy("start", "kind")
+    is_base = F.col("kind") < len(KINDS)
+    reached = F.max(F.when(is_base, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    both = both.select("*", F.coalesce(reached, F.lit(0)).alias("reached"), F.expr(NEXT).alias("following"))
+    both = both.filter(is_base | ((F.col("reached") <= F.col("start")) & (F.coalesce("following", F.col("end")) >= F.col("end"))))
+    at = F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return both.select("text_hash", "kind", "start", "end", at.alias("at"))
+
+
+#: The start of the next base span of the text.
+NEXT = f"lead(CASE WHEN kind < {len(KINDS)} THEN start END, 1) IGNORE NULLS OVER (PARTITION BY text_hash ORDER BY start, kind)"
+SPANS = "array<struct<start:bigint,kind:int,end:bigint,at:bigint>>"
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
-    """A row per row of ``docs``: doc_id, text_hash, n_email, n_ip, n_card, n_phone, base and spans (arrays of (start, kind, end) in order).
+    """A row per row of ``docs``: doc_id, text_hash, n_email, n_ip, n_card, n_phone, base and spans (arrays of (start, kind, end, at) in order).
 
     Reads doc_id and text; other columns don't matter. A null text counts as empty; empty
     texts have no spans; rows that repeat have the same spans each and count as documents
     each; a text of any length is searched whole. Kinds 0 to 3 are base kinds as listed, 4 and
-    5 terms to generalise and to remove; an added span never overlaps a base one. An empty
-    table gives an empty table.
+    5 terms to generalise and to remove; an added span never overlaps a base one; at is the
+    farthest end of the spans before. An empty table gives an empty table.
     """
-    text = F.coalesce(docs["text"], F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), docs["doc_id"].alias("doc_id"), F.xxhash64(text).alias("text_hash"), matches(text).alias("found"))
-    n_docs = docs.count()
-    found = saved(rows, "matches")
-    n = found.agg(F.sum(F.size("found"))).first()[0] or 0
-    spans = saved(base_spans(found.select("row_id", "found")), "base")
-    texts = docs.select(F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    told = disclosing(found.select("row_id", "text_hash"), spans, texts, n_docs, n)
-    base = spans.groupBy("row_id").agg(
-        *[F.count_if(F.col("kind") == k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)],
-        F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("base"),
-    )
-    out = found.select("row_id", "doc_id", "text_hash").join(base, "row_id", "left")
-    none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
-    out = out.withColumn("more", none) if told is None else out.join(occurrences(texts, told), "text_hash", "left")
-    clear = F.filter("more", lambda m: ~F.exists("base", lambda b: (m["start"] < b["end"]) & (b["start"] < m["end"])))
-    return out.select(
-        "doc_id",
-        "text_hash",
-        *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS],
-        F.coalesce("base", none).alias("base"),
-        F.sort_array(F.concat(F.coalesce("base", none), F.coalesce(clear, none))).alias("spans"),
-    )
+    with scratch(docs.sparkSession) as keep:
+        text = F.coalesce(docs["text"], F.lit(""))
+        rows = docs.select(F.monotonically_increasing_id().alias("row_id"), docs["doc_id"].alias("doc_id"), text_key(text).alias("text_hash"), matches(text).alias("found"))
+        found = saved(rows, "matches")
+        keys = keep(saved(found.select("row_id", "doc_id", "text_hash"), "keys"))
+        n_docs, n = found.agg(F.count("*"), F.coalesce(F.sum(F.size("found")), F.lit(0))).first()
+        spans = saved(base_spans(found.select("row_id", "found")), "base")
+        texts = docs.select(text_key(text).alias("text_hash"), text.alias("text"))
+        told = disclosing(keys.select("row_id", "text_hash"), spans, texts, n_docs, n)
+        # rows of one text have the same spans
+        base = spans.select("row_id", "kind", "start", "end", "at").join(keys.select("row_id", "text_hash"), "row_id").drop("row_id").dropDuplicates(["text_hash", "kind", "start"])
+        item = F.struct("start", "kind", "end", "at")
+        by_text = base.groupBy("text_hash").agg(
+            *[F.count_if(F.col("kind") == k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)], F.sort_array(F.collect_list(item)).alias("base")
+        )
+        if told is None:
+            by_text = by_text.withColumn("spans", F.col("base"))
+        else:
+            every = _clear(base.drop("at"), occurrences(texts, told)).groupBy("text_hash").agg(F.sort_array(F.collect_list(item)).alias("spans"))
+            by_text = every.join(by_text, "text_hash", "left")
+        by_text = keep(saved(by_text, "by_text"))
+    size = by_text.agg(F.count("*") + F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0]  # rows and spans, of a few words each
+    out = keys.join(sized(by_text, size, BROADCAST_ROWS // 4), "text_hash", "left")
+    none = F.array().cast(SPANS)
+    return out.select("doc_id", "text_hash", *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS], *[F.coalesce(c, none).alias(c) for c in ("base", "spans")])
 
 
 def joined(spans: Column) -> Column:
@@ -202,20 +237,21 @@ def joined(spans: Column) -> Column:
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with all spans of every text replaced by the name of their kind in brackets; removed terms leave nothing.
 
-    Texts without spans and null texts stay as they are, and so do all other columns.
+    Texts without spans and null texts stay as they are, and so do all other columns, whatever their names.
     """
-    rows = docs.count()
-    found = find_spans(docs).filter(F.size("spans") > 0)
-    # rows that repeat have the same spans
-    found = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__hash"])
-    found = saved(found, "found")
-    size = found.agg(F.count("*") + F.sum(F.size("__spans"))).first()[0] or 0  # rows and spans, of a few words each
-    marked = docs.withColumn("__text_hash", F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
-    out = marked.join(sized(found, size), marked["doc_id"].eqNullSafe(F.col("__id")) & (marked["__text_hash"] == F.col("__hash")), "left")
+    key, spans = fresh(docs.columns, "text_hash"), fresh(docs.columns, "spans")
+    with scratch(docs.sparkSession) as keep:
+        found = find_spans(docs).filter(F.size("spans") > 0)
+        # rows of one text have the same spans
+        found = found.select(F.col("text_hash").alias(key), F.col("spans").alias(spans)).dropDuplicates([key])
+        found = keep(saved(found, "found"))
+    size = found.agg(F.count("*") + F.coalesce(F.sum(F.size(spans)), F.lit(0))).first()[0]
+    marked = docs.withColumn(key, text_key(F.coalesce(docs["text"], F.lit(""))))
+    out = marked.join(sized(found, size, BROADCAST_ROWS // 4), key, "left")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in (*KINDS, ADDED[0])], F.lit(""))
-    step = _replaced(F.col("__spans"), lambda s: names[s["kind"]])
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(step)
-    return out.select(*[(text.alias(c) if c == "text" else F.col(c)) for c in docs.columns])
+    step = _replaced(F.col("text"), F.col(spans), lambda s: names[s["kind"]])
+    text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(step)
+    return out.select(*[(text.alias(c) if c == "text" else F.col(f"`{c}`")) for c in docs.columns])
 
 
 def op6_pii(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,10 @@ AWKWARD = [
 ]
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside.
-CLASHES = ["n", "set", "kind", "hash", "row_id", "run", "key", "score", "predicted", "kept", "root", "node", "start", "end", "check", "chars", "rep", "held_out", "x", "c", "words"]
+CLASHES = [
+    "n", "set", "kind", "hash", "row_id", "run", "key", "score", "predicted", "kept", "root", "node", "start", "end", "check", "chars", "rep", "held_out", "x", "c", "words",
+    "lost", "spans", "text_hash", "at", "base", "found", "slice", "digest", "__id", "__n", "__check", "__d_check", "__d_n", "__hash", "__spans", "__text_hash", "__lost", "a.b",
+]
 
 
 def awkward(spark, clash: bool = False):

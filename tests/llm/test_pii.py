@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -58,6 +59,45 @@ def test_terms_beyond_the_context(spark):
     assert not any(re.search(r"(?i)\bzerko\b", t) for t in clean.values()) and clean[5] == "Only [GENERALISED] is named here." and clean[7] == rows[7][1]
 
 
+def slow_replaced(text: str, spans: list[tuple[int, int, int]]) -> str:
+    names, out, at = ["[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[GENERALISED]", ""], "", 0
+    for s, k, e in spans:
+        if s >= at:
+            out += text[at:s] + names[k]
+        at = max(at, e)
+    return out + text[at:]
+
+
+def test_rewriting_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(pii, "BLOCK", 7)
+    rnd = random.Random(8)
+    parts = [*"ab 09 .-+()@%é\U0001F600", "a@b.c", "1.2.3.4", "4111 1111 1111 1111", "+1 (555) 123-4567", "1.1.1.1.1.1.1.1@x.y", "+1 1.1.1.1 2345678", "éa@b.co"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 40))) for _ in range(600)]
+    df = spark.createDataFrame([*enumerate(texts), (1000, None)], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    spans = {r["doc_id"]: [(s["start"], s["kind"], s["end"]) for s in r["spans"]] for r in pii.find_spans(df).collect()}
+    assert len(got) == 601 and got[1000] is None
+    for i, t in enumerate(texts):
+        assert [s for s in spans[i] if s[1] < 4] == [x[:3] for x in base_spans(t)] and got[i] == slow_replaced(t, spans[i])
+        assert not any(s < z and b < e for s, k, e in spans[i] if k > 3 for b, kk, z in spans[i] if kk < 4)
+
+
+def test_many_spans_in_one_text_cost_no_more(spark):
+    one = [f"Write to user{k}@mail.example.org or call +1 (555) 123-4567 now, {k} times. " for k in range(50_000)]
+    giant = spark.createDataFrame([(1, "".join(one))], "doc_id long, text string")
+    many = spark.createDataFrame([(k, "".join(one[k * 50 : k * 50 + 50])) for k in range(1000)], "doc_id long, text string").coalesce(1)
+
+    def took(df) -> float:
+        t = time.perf_counter()
+        assert pii.find_spans(df).select(F.sum(F.size("base"))).first()[0] == 100_000
+        assert sum(r["text"].count("[EMAIL]") for r in pii.sanitise(df).select("text").collect()) == 50_000
+        return time.perf_counter() - t
+
+    took(many)
+    a, b = took(many), took(giant)
+    assert b < 2.5 * a + 5, (a, b)
+
+
 def test_awkward(spark):
     df = awkward(spark, clash=True)
     assert pii.find_spans(df).count() == len(AWKWARD)
