@@ -1,59 +1,73 @@
 """Exact deduplication: a tree-merge of sorted digest runs, in DataFrame operations only.
 
-Every scan partition makes one run of (digest, smallest identifier, count) rows. In
-each round ``FAN_IN`` neighbouring runs are merged into one: rows of equal digest meet
-and the smallest verified identifier stays, so a group that holds a third of all rows
-has shrunk to one row a run before any exchange. The rows of a run are spread over all
-tasks by digest; no task ever holds a whole run or a whole group.
+Every scan partition makes one run of (digest, smallest identifier, count) rows, sorted by
+digest, in which rows of equal digest have become one. Runs are then exchanged in binomial
+rounds: run i sends its rows to the run whose number has the lowest bits of i cleared, three
+bits a round, so runs 1, 2 and 4 places apart meet in the first round, 8, 16 and 32 places in
+the second, and up to ``FAN_IN`` sorted runs are merged at once until run 0 is left. Where
+equal digests meet, in a run or in any round, a second hash and the length are compared too:
+the smallest identifier is retained and every mismatch is counted. Digests with mismatches
+(none are known of SHA-256) are grouped again by all three.
+
+The rows of a run are spread over all tasks by digest; no task ever holds a whole run, and a
+group that holds a third of all rows is one row a run before anything is exchanged.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftmark.llm.shared import saved, sized
+from siftmark.llm.shared import fresh, saved, scratch, sized
 
-#: Runs that one round merges into one.
+#: Runs that one round merges into one: a power of two.
 FAN_IN = 8
 #: The white space that is deleted before texts are compared.
 BLANKS = " \t\n\x0b\f\r"
 
 
+def digest(norm: Column) -> Column:
+    return F.sha2(norm, 256)
+
+
 def digest_runs(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: its identity, digests of the normalised text and the run it belongs to."""
+    """One row per row of ``docs``: its identity, digests of the normalised text and the run it belongs to; each run is sorted."""
     text = F.coalesce(docs["text"], F.lit(""))
-    return docs.select(
-        docs["doc_id"].alias("doc_id"), F.length(text).alias("chars"), F.translate(text, BLANKS, "").alias("norm")
-    ).select(
+    rows = docs.select(docs["doc_id"].alias("doc_id"), F.length(text).alias("chars"), F.translate(text, BLANKS, "").alias("norm")).select(
         "doc_id",
         "chars",
         F.monotonically_increasing_id().alias("row_id"),
-        F.spark_partition_id().alias("run"),
-        F.sha2("norm", 256).alias("text_sha256"),
+        F.spark_partition_id().cast("long").alias("run"),
+        digest(F.col("norm")).alias("text_sha256"),
         # what a merge verifies beside the digest: another hash and the length
-        F.xxhash64("norm").alias("check"),
-        F.length("norm").alias("norm_chars"),
+        F.struct(F.xxhash64("norm").alias("check"), F.length("norm").alias("norm_chars")).alias("proof"),
     )
+    return rows.sortWithinPartitions("run", "text_sha256")
+
+
+def best_row() -> Column:
+    return F.struct((-F.col("chars")).alias("less"), F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")
 
 
 def merge_runs(runs: DataFrame, n_runs: int) -> DataFrame:
-    """Merges runs in rounds of FAN_IN until one is left: a row per digest with its best row and group size."""
-    key = ["text_sha256", "check", "norm_chars"]
-    out = runs.select(
-        "run",
-        *key,
-        F.struct((-F.col("chars")).alias("less"), F.col("doc_id").isNull().alias("none"), "doc_id", "row_id").alias("best"),
-        F.lit(1).cast("long").alias("group_size"),
-    )
+    """Merges runs in rounds until run 0 is left: a row per digest with its best row, group size, proof and mismatches met."""
+    out = runs.select("run", "text_sha256", best_row().alias("best"), F.lit(1).cast("long").alias("group_size"), "proof", F.lit(0).cast("long").alias("mismatches"))
+    apart = 1
     while True:
-        n_runs = -(-n_runs // FAN_IN)
+        apart *= FAN_IN
         out = (
-            out.withColumn("run", F.floor(F.col("run") / FAN_IN).cast("int"))
-            .groupBy("run", *key)
-            .agg(F.min("best").alias("best"), F.sum("group_size").alias("group_size"))
+            out.withColumn("run", F.col("run") - F.col("run") % apart)
+            .groupBy("run", "text_sha256")
+            .agg(
+                F.min("best").alias("best"),
+                F.sum("group_size").alias("group_size"),
+                F.min("proof").alias("proof"),
+                F.max("proof").alias("other"),
+                F.sum("mismatches").alias("mismatches"),
+            )
+            .select("run", "text_sha256", "best", "group_size", "proof", (F.col("mismatches") + (F.col("proof") != F.col("other")).cast("long")).alias("mismatches"))
         )
-        if n_runs <= 1:
+        if apart >= n_runs:
             return out.drop("run")
 
 
@@ -61,32 +75,33 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     """Groups rows whose texts are equal without white space and names the row of each that stays.
 
     Takes any table with ``doc_id`` and ``text``; other columns are not read. Returns a row
-    per row: doc_id, keep_id, group_size, kept, text_sha256, chars, check, row_id. The row with most
+    per row: doc_id, keep_id, group_size, kept, text_sha256, chars, proof, row_id. The row with most
     code points stays, then the one with the smallest doc_id (null ids last), then the first
     row read. A null text counts as empty and all empty texts are one group; of repeated rows
     one is kept. An empty table gives an empty table.
     """
-    runs = saved(digest_runs(docs), "runs")
-    top = runs.agg(F.max("run")).first()[0]
-    best = merge_runs(runs, 1 + (top or 0)).filter("group_size > 1")
+    with scratch(docs.sparkSession) as keep:
+        runs = keep(saved(digest_runs(docs), "runs"))
+        top = runs.agg(F.max("run")).first()[0]
+        merged = keep(saved(merge_runs(runs, 1 + (top or 0)).filter("group_size > 1"), "merged"))
+    columns = ["text_sha256", "proof", "best", "group_size"]
+    best = merged.filter("mismatches = 0").select(*columns)
+    if n := merged.filter("mismatches > 0").count():
+        doubt = runs.join(sized(merged.filter("mismatches > 0").select("text_sha256"), n), "text_sha256", "left_semi")
+        again = doubt.groupBy("text_sha256", "proof").agg(F.min(best_row()).alias("best"), F.count("*").alias("group_size"))
+        best = best.unionByName(again.filter("group_size > 1").select(*columns))
     best = best.select(
-        F.col("text_sha256").alias("b_sha"),
-        F.col("check").alias("b_check"),
-        F.col("norm_chars").alias("b_chars"),
-        F.col("best.doc_id").alias("b_id"),
-        F.col("best.row_id").alias("b_row"),
-        F.col("group_size").alias("b_size"),
+        F.col("text_sha256").alias("b_sha"), F.col("proof").alias("b_proof"), F.col("best.doc_id").alias("b_id"), F.col("best.row_id").alias("b_row"), F.col("group_size").alias("b_size")
     )
-    same = (F.col("text_sha256") == F.col("b_sha")) & (F.col("check") == F.col("b_check")) & (F.col("norm_chars") == F.col("b_chars"))
     alone = F.col("b_sha").isNull()
-    return runs.join(best, same, "left").select(
+    return runs.join(best, (F.col("text_sha256") == F.col("b_sha")) & (F.col("proof") == F.col("b_proof")), "left").select(
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("b_id")).alias("keep_id"),
         F.coalesce("b_size", F.lit(1)).cast("long").alias("group_size"),
         (alone | (F.col("row_id") == F.col("b_row"))).alias("kept"),
         "text_sha256",
         "chars",
-        "check",
+        "proof",
         "row_id",
     )
 
@@ -94,30 +109,30 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 def dedup_filter(docs: DataFrame) -> DataFrame:
     """``docs`` with all its columns, less the rows that :func:`exact_dedup` drops.
 
-    Rows are matched by (doc_id, text without white space, length); among rows that agree
-    in all three one stays.
+    Rows are matched by (doc_id, second hash of the text without white space, its length, length);
+    among rows that agree in all four one stays.
     """
-    rows = docs.count()
-    found = saved(exact_dedup(docs), "dedup")
-    key = ["__id", "__check", "__n"]
-    keyed = found.select(F.col("doc_id").alias("__id"), F.col("check").alias("__check"), F.col("chars").alias("__n"), "kept")
-    gone, stay = saved(keyed.filter(~F.col("kept")).drop("kept").distinct(), "gone"), keyed.filter("kept").drop("kept")
+    i, p, n = (fresh(docs.columns, c) for c in ("k_id", "k_proof", "k_chars"))
+    with scratch(docs.sparkSession) as keep:
+        found = saved(exact_dedup(docs).select(F.col("doc_id").alias(i), F.col("proof").alias(p), F.col("chars").alias(n), "kept"), "dedup")
+        gone = keep(saved(found.filter(~F.col("kept")).drop("kept").distinct(), "gone"))
+        stay = found.filter("kept").drop("kept")
+        same = [gone[i].eqNullSafe(stay[i]), gone[p] == stay[p], gone[n] == stay[n]]
+        repeats = keep(saved(gone.join(stay, same, "left_semi"), "repeats"))
     text = F.coalesce(docs["text"], F.lit(""))
-    marked = docs.withColumns({"__d_check": F.xxhash64(F.translate(text, BLANKS, "")), "__d_n": F.length(text)})
-    here = [marked["doc_id"], marked["__d_check"], marked["__d_n"]]
+    norm = F.translate(text, BLANKS, "")
+    d_proof, d_chars = fresh(docs.columns, "d_proof"), fresh(docs.columns, "d_chars")
+    marked = docs.withColumns({d_proof: F.struct(F.xxhash64(norm).alias("check"), F.length(norm).alias("norm_chars")), d_chars: F.length(text)})
 
     def among(keys: DataFrame, rows: int, how: str) -> DataFrame:
-        on = [a.eqNullSafe(keys[k]) if k == "__id" else a == keys[k] for a, k in zip(here, key, strict=True)]
+        on = [marked["doc_id"].eqNullSafe(keys[i]), marked[d_proof] == keys[p], marked[d_chars] == keys[n]]
         return marked.join(sized(keys, rows), on, how)
 
-    same = [gone["__id"].eqNullSafe(stay["__id"]), gone["__check"] == stay["__check"], gone["__n"] == stay["__n"]]
-    repeats = saved(gone.join(stay, same, "left_semi"), "repeats")
-    n, n_repeats = gone.count(), repeats.count()
-    if not n_repeats:
-        return among(gone, n, "left_anti").select(*docs.columns)
-    # rows that the table repeats: their key is both dropped and kept, so one row of each key stays
-    out = among(gone, n, "left_anti").unionByName(among(repeats, n_repeats, "left_semi").dropDuplicates(["doc_id", "__d_check", "__d_n"]))
-    return out.select(*docs.columns)
+    out, n_repeats = among(gone, gone.count(), "left_anti"), repeats.count()
+    if n_repeats:
+        # rows that the table repeats: their key is both dropped and kept, so one row of each key stays
+        out = out.unionByName(among(repeats, n_repeats, "left_semi").dropDuplicates(["doc_id", d_proof, d_chars]))
+    return out.drop(d_proof, d_chars)
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.sql import functions as F
+
 from siftmark.llm import exact_dedup as D
 from tests.llm.helpers import AWKWARD, awkward, no_rows
 
@@ -31,3 +35,28 @@ def test_many_runs_and_a_hot_group(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(100)
     got = {r["doc_id"]: r for r in D.exact_dedup(df).collect()}
     assert got[99]["keep_id"] == 0 and got[99]["group_size"] == 100 and sum(r["kept"] for r in got.values()) == 201
+
+
+def test_runs_are_sorted_and_merged_in_binomial_rounds(spark):
+    rows = [(k, f"text {k % 50}") for k in range(400)]
+    runs = D.digest_runs(spark.createDataFrame(rows, "doc_id long, text string").repartition(70))
+    by_run: dict[int, list] = {}
+    for r in runs.collect():
+        by_run.setdefault(r["run"], []).append(r["text_sha256"])
+    assert len(by_run) > 60 and all(v == sorted(v) for v in by_run.values())
+    merged = D.merge_runs(runs, 70).collect()
+    assert len(merged) == 50 and all(r["group_size"] == 8 and r["mismatches"] == 0 and r["best"]["doc_id"] < 50 for r in merged)
+
+
+def test_mismatches_are_counted_and_kept_apart(spark, monkeypatch):
+    # a digest of sixteen values only: what meets is verified by the second hash and the length
+    monkeypatch.setattr(D, "digest", lambda norm: F.substring(F.sha2(norm, 256), 1, 1))
+    rows = [(k, f"text {k % 60}") for k in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(20)
+    merged = D.merge_runs(D.digest_runs(df), 20).collect()
+    texts: dict[str, set] = {}
+    for _, t in rows:
+        texts.setdefault(hashlib.sha256(t.replace(" ", "").encode()).hexdigest()[0], set()).add(t)
+    assert {r["text_sha256"]: r["mismatches"] > 0 for r in merged} == {k: len(v) > 1 for k, v in texts.items()}
+    got = {r["doc_id"]: r for r in D.exact_dedup(df).collect()}
+    assert {i: (r["keep_id"], r["group_size"], r["kept"]) for i, r in got.items()} == {i: (i % 60, 4, i < 60) for i in range(240)}
