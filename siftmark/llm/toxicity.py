@@ -1,9 +1,11 @@
 """Toxicity by compression distance: two zstandard dictionaries, window by window.
 
-The ordinary dictionary is trained on ordinary texts. The toxic one is trained on what
-ordinary texts don't explain: words of toxic texts that the ordinary sample lacks and at
-least ``SHARE`` of the toxic texts hold; it then carries the ordinary content too, so that
-common prose compresses alike under both. A text is cut into windows of ``WINDOW`` bytes
+The ordinary dictionary is trained on the windows of ordinary texts, the toxic one on toxic
+texts, in which each word counts by its likelihood ratio, toxic to ordinary, as estimated
+from smoothed document frequencies: log2(ratio) - ``DOUBT`` times, rounded down. No word is
+left out for having been seen in ordinary texts, or for being rare. The toxic compressor
+has the ordinary content behind its own, so that common prose compresses alike under both and
+only what marks toxic texts makes a difference. A text is cut into windows of ``WINDOW`` bytes
 at word ends, and each is compressed with either dictionary. How many bytes the toxic one
 saves, over all windows of a text, is turned into a score by a logistic curve whose
 thresholds are calibrated on labelled rows that neither dictionary has seen.
@@ -31,8 +33,8 @@ from siftmark.llm.shared import held_out, ship
 TOXIC, ORDINARY, SAMPLE_CHARS = 2500, 5000, 20_000
 #: Bytes of a window; of the dictionaries; the compression level.
 WINDOW, ORDINARY_BYTES, TOXIC_BYTES, LEVEL = 48, 65_536, 2_048, 3
-#: The part of toxic sample texts that must hold a word for the toxic dictionary, and the least number of them.
-SHARE, LEAST = 0.02, 3
+#: Bits of a word's likelihood ratio that don't count.
+DOUBT = 3
 #: Scores from here on are predicted toxic.
 THRESHOLD = 0.3
 MARKS = b".,;:!?$%#&*()\"'"
@@ -118,6 +120,17 @@ class Model:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
+def weighted(toxic: list[str], ordinary: list[str]) -> list[bytes]:
+    """Toxic texts as samples to train on, each word as often as its likelihood ratio has it."""
+    df_t, df_o = (Counter(w for t in texts for w in set(words(t))) for texts in (toxic, ordinary))
+
+    def times(w: bytes) -> int:
+        ratio = (df_t[w] + 1) / (len(toxic) + 2) * (len(ordinary) + 2) / (df_o[w] + 1)
+        return int(max(0, math.log2(ratio) - DOUBT))
+
+    return [b" " + b" ".join(r) + b" " for t in toxic if (r := [w for w in words(t) for _ in range(times(w))])]
+
+
 def fit(toxic: list[str], ordinary: list[str], n_toxic: int, n_ordinary: int) -> Model:
     """A model from sample texts; ``n_*`` are the labelled rows that the samples stand for."""
     # a third of either class calibrates; the dictionaries see the rest, if there is any
@@ -127,11 +140,7 @@ def fit(toxic: list[str], ordinary: list[str], n_toxic: int, n_ordinary: int) ->
         return [t for i, t in enumerate(texts) if i % 3] or held, held
 
     (t_fit, t_cal), (o_fit, o_cal) = parted(toxic), parted(ordinary)
-    known = {w for t in o_fit for w in words(t)}
-    df = Counter(w for t in t_fit for w in set(words(t)) if w not in known)
-    least = max(LEAST, math.ceil(SHARE * len(t_fit)))
-    marked = [b" " + b" ".join(r) + b" " for t in t_fit if (r := [w for w in words(t) if df[w] >= least])]
-    distance = Distance(trained([w for t in o_fit for w in windows(t)], ORDINARY_BYTES), trained(marked, TOXIC_BYTES))
+    distance = Distance(trained([w for t in o_fit for w in windows(t)], ORDINARY_BYTES), trained(weighted(t_fit, o_fit), TOXIC_BYTES))
     x = np.array([distance.features(t) for t in [*t_cal, *o_cal]], float)
     y = np.array([1.0] * len(t_cal) + [0.0] * len(o_cal))
     # rows weigh as their class has it among all labelled rows

@@ -8,6 +8,7 @@ from collections import Counter
 
 import pytest
 import regex
+import zstandard
 from pyspark.sql import functions as F
 
 from siftmark.llm import language_id as L
@@ -191,7 +192,53 @@ def test_toxicity_held_out(spark):
     x = T.op3_toxicity(spark, d).join(labels, "doc_id").filter("held_out")
     rows = x.select("toxic", "predicted").collect()
     tp = sum(r["toxic"] == 1 and r["predicted"] == 1 for r in rows)
-    assert tp / sum(r["toxic"] for r in rows) > 0.45 and tp / sum(r["predicted"] for r in rows) > 0.75
+    # on the check table (10 times the labels) recall and precision are 0.92 and 0.92
+    assert tp / sum(r["toxic"] for r in rows) > 0.58 and tp / sum(r["predicted"] for r in rows) > 0.8
+
+
+def test_toxicity_against_brute_force(spark):
+    d = str(DATA / "sf0.001")
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = T.train(docs, labels)
+    got = {r["doc_id"]: r for r in T.op3_toxicity(spark, d).collect()}
+    params = zstandard.ZstdCompressionParameters.from_level(T.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False, min_match=3, strategy=zstandard.STRATEGY_LAZY2)
+
+    def length(window: bytes, content: bytes) -> int:
+        made = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=made, compression_params=params).compress(window))
+
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in sorted(rows, key=lambda r: len(r["text"] or ""))[:120]:
+        cut, held = [], b""
+        for w in (r["text"] or "").lower().encode().split():
+            held += b" " + w
+            if len(held) >= T.WINDOW:
+                cut.append(held + b" ")
+                held = b""
+        if held or not cut:
+            cut.append(held + b" " if held else b"  ")
+        plain = [length(w, model.distance.ordinary) for w in cut]
+        toxic = [length(w, model.distance.toxic + model.distance.ordinary) for w in cut]
+        g, n = [a - b for a, b in zip(plain, toxic, strict=True)], len(cut)
+        top = sorted(g)[-3:]
+        over = {k: sum(x >= k for x in g) for k in (2, 3, 4, 5)}
+        x = [
+            sum(g) / n, top[-1], sum(top) / len(top), sum(g) / math.sqrt(n), over[2] / n, over[3] / n, over[4] / n, over[5] > 0,
+            math.log(1 + over[3]), math.log(1 + over[4]), math.log(n), sum(toxic) / sum(map(len, cut)),
+        ]
+        z = model.weights[-1] + sum(w * (v - m) / s for w, v, m, s in zip(model.weights[:-1], x, model.mean, model.scale, strict=True))
+        assert got[r["doc_id"]]["score"] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+        assert got[r["doc_id"]]["predicted"] == (got[r["doc_id"]]["score"] >= 0.3)
+
+
+def test_words_count_by_likelihood_ratio():
+    toxic = [f"some plain talk {'brute' if i % 2 else 'nasty'} rare{i % 40}" for i in range(400)]
+    ordinary = [f"some plain talk of number{i}" for i in range(1000)] + ["a nasty quote"] * 3
+    got = Counter(w for s in T.weighted(toxic, ordinary) for w in s.split())
+    # seen in three ordinary texts or not, in half of the toxic texts or in one of forty: all are there, by weight
+    assert got[b"brute"] > got[b"nasty"] > 200 and all(got[f"rare{k}".encode()] >= 10 for k in range(40))
+    assert not {b"some", b"plain", b"talk"} & set(got)
 
 
 def test_toxicity_awkward(spark):
