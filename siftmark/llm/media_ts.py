@@ -2,10 +2,13 @@
 
 A payload is stored as one program with one elementary stream of private data: access
 units of ``UNIT`` bytes in PES packets with timestamps, cut into transport packets of 188
-bytes with continuity counters, behind a program association table and a program map
-table. Reading goes the whole way back: it parses the tables (with their checksums) to
-find the stream, checks continuity counters, reassembles the PES packets and returns the
-payload with the timestamp, place and random-access mark of each unit.
+bytes with continuity counters. A program association table and a program map table stand
+before each random-access point, so that reading can begin there. Reading goes the whole
+way back: it parses the tables (with their checksums) to find the stream, checks the
+continuity counters of tables and stream, reassembles the PES packets and returns the
+payload with the timestamp, place and random-access mark of each unit. A stream with a
+damaged table, a cut packet or a gap in its counters is an error, unless gaps are asked for
+as a number.
 """
 
 from __future__ import annotations
@@ -53,13 +56,13 @@ def _section(table: int, number: int, body: bytes) -> bytes:
     return head + body + crc32_mpeg(head + body).to_bytes(4, "big")
 
 
-def _table_packet(pid: int, section: bytes) -> bytes:
-    head = bytes([SYNC, 0x40 | pid >> 8, pid & 0xFF, 0x10, 0])
-    return (head + section).ljust(PACKET, b"\xff")
+def _table_packets(pid: int, section: bytes) -> list[bytes]:
+    """The packet of a table for each value of its continuity counter."""
+    return [(bytes([SYNC, 0x40 | pid >> 8, pid & 0xFF, 0x10 | k, 0]) + section).ljust(PACKET, b"\xff") for k in range(16)]
 
 
-_PAT = _table_packet(PAT_PID, _section(0x00, 1, (1).to_bytes(2, "big") + (0xE000 | PMT_PID).to_bytes(2, "big")))
-_PMT = _table_packet(
+_PAT = _table_packets(PAT_PID, _section(0x00, 1, (1).to_bytes(2, "big") + (0xE000 | PMT_PID).to_bytes(2, "big")))
+_PMT = _table_packets(
     PMT_PID, _section(0x02, 1, (0xE000 | DATA_PID).to_bytes(2, "big") + b"\xf0\x00" + bytes([PRIVATE_TYPE]) + (0xE000 | DATA_PID).to_bytes(2, "big") + b"\xf0\x00")
 )
 
@@ -70,13 +73,14 @@ def _stamp(mark: int, t: int) -> bytes:
 
 def mux(payload: bytes) -> bytes:
     """The transport stream of a payload; one unit at least, so that an empty payload is stored too."""
-    out = [_PAT, _PMT]
+    out = []
     counter = 0
     for i, at in enumerate(range(0, max(1, len(payload)), UNIT)):
         unit = payload[at : at + UNIT]
         t = i * TICKS & (1 << 33) - 1
         pes = b"\x00\x00\x01" + bytes([PRIVATE_STREAM]) + (len(unit) + 8).to_bytes(2, "big") + b"\x84\x80\x05" + _stamp(2, t) + unit
         if i % RANDOM_ACCESS == 0:
+            out += [_PAT[i // RANDOM_ACCESS & 15], _PMT[i // RANDOM_ACCESS & 15]]
             # adaptation field with the random-access mark and a clock reference
             field = bytes([0x50]) + (t << 15 | 0x7E00).to_bytes(6, "big")
         else:
@@ -111,10 +115,12 @@ def mux(payload: bytes) -> bytes:
 
 
 def _sections(packets: np.ndarray, pid: np.ndarray, wanted: int, table: int) -> bytes:
-    """Body of the first section of a table, its checksum verified."""
+    """Body of the section of a table, its checksum verified; all packets of it say the same."""
     at = np.flatnonzero(pid == wanted)
     if not len(at):
         raise ValueError(f"no packet of table {table}")
+    if (packets[at, 4:] != packets[at[0], 4:]).any():
+        raise ValueError(f"table {table} is damaged")
     raw = packets[at[0]].tobytes()
     section = raw[5 + raw[4] :]
     size = int.from_bytes(section[1:3], "big") & 0x0FFF
@@ -124,8 +130,17 @@ def _sections(packets: np.ndarray, pid: np.ndarray, wanted: int, table: int) ->
     return section[8:-4]
 
 
-def demux(stream: bytes) -> dict:
-    """payload, pts (array), place of each unit in the payload, random (array of 0 and 1), packets, discontinuities."""
+def _gaps(packets: np.ndarray) -> int:
+    """How often the continuity counter of one stream doesn't go on by one."""
+    return int(((np.diff((packets[:, 3] & 15).astype(np.int16)) & 15) != 1).sum())
+
+
+def demux(stream: bytes, gaps: bool = False) -> dict:
+    """payload, pts (array), place of each unit in the payload, random (array of 0 and 1), entries, packets, discontinuities.
+
+    ``stream`` may begin at any of its entries (numbers of packets from which on it can be read). Without ``gaps``
+    a discontinuity is a ValueError.
+    """
     if len(stream) % PACKET or not stream:
         raise ValueError("not whole packets")
     packets = np.frombuffer(stream, np.uint8).reshape(-1, PACKET)
@@ -142,8 +157,9 @@ def demux(stream: bytes) -> dict:
             data_pid = int.from_bytes(streams[k + 1 : k + 3], "big") & 0x1FFF
         k += 5 + (int.from_bytes(streams[k + 3 : k + 5], "big") & 0x0FFF)
     mine = packets[pid == data_pid]
-    counter = mine[:, 3] & 15
-    breaks = int(((np.diff(counter.astype(np.int16)) & 15) != 1).sum())
+    breaks = sum(_gaps(packets[pid == k]) for k in (PAT_PID, pmt, data_pid))
+    if breaks and not gaps:
+        raise ValueError(f"{breaks} discontinuities")
     adapt = (mine[:, 3] & 0x20) > 0
     skip = 4 + np.where(adapt, 1 + mine[:, 4].astype(np.int32), 0)
     starts = np.flatnonzero(mine[:, 1] & 0x40)
@@ -167,7 +183,7 @@ def demux(stream: bytes) -> dict:
         at += len(unit)
         units.append(unit)
         random.append(int(adapt[s] and mine[s, 4] > 0 and mine[s, 5] & 0x40 > 0))
-    return {"payload": b"".join(units), "pts": pts, "place": place, "random": random, "packets": len(packets), "discontinuities": breaks}
+    return {"payload": b"".join(units), "pts": pts, "place": place, "random": random, "entries": np.flatnonzero(pid == PAT_PID).tolist(), "packets": len(packets), "discontinuities": breaks}
 
 
 def padded(text: bytes) -> bytes:
@@ -228,6 +244,6 @@ def media_columns(docs: DataFrame, columns: list[str] | None = None) -> DataFram
 
 
 def op9_media_columns(spark, sf_dir: str) -> DataFrame:
-    """All of ``documents``, one row per document, without the stored bytes themselves."""
-    columns = [n for n in SCHEMA.names if n not in ("media", "pts", "random_access")]
+    """All of ``documents``, one row per document, with timestamps and random-access points, without the stored bytes themselves."""
+    columns = [n for n in SCHEMA.names if n != "media"]
     return media_columns(spark.read.parquet(f"{sf_dir}/documents.parquet"), columns)

@@ -27,7 +27,14 @@ def test_faults_are_seen():
         M.demux(lost)
     bad = bytearray(stream)
     bad[188 * 5 + 3] ^= 1
-    assert M.demux(bytes(bad))["discontinuities"] == 2
+    with pytest.raises(ValueError):
+        M.demux(bytes(bad))
+    assert M.demux(bytes(bad), gaps=True)["discontinuities"] == 2
+    # whole units lost from the middle leave good PES packets, but a gap
+    long = M.mux(b"y" * 200_000)
+    a, b = M.demux(long)["entries"][1:3]
+    with pytest.raises(ValueError):
+        M.demux(long[: 188 * a] + long[188 * b :])
     for at in (6, 188 + 12):
         bad = bytearray(stream)
         bad[at] ^= 1
@@ -37,6 +44,23 @@ def test_faults_are_seen():
         M.demux(bytes(stream[:-1]))
 
 
+def test_reading_begins_at_any_entry():
+    raw = os.urandom(300_000)
+    stream = M.mux(raw)
+    got = M.demux(stream)
+    marks = [p for p, r in zip(got["place"], got["random"], strict=True) if r]
+    assert len(marks) == len(got["entries"]) > 10
+    for k, place in zip(got["entries"], marks, strict=True):
+        part = M.demux(stream[188 * k :])
+        assert part["payload"] == raw[place:] and part["pts"][0] == place // M.UNIT * M.TICKS and part["random"][0] == 1
+
+
+def test_query_stores_timestamps(spark, small):
+    for r in M.op9_media_columns(spark, small).select("payload_bytes", "pts", "random_access").collect():
+        n = -(-r["payload_bytes"] // M.UNIT)
+        assert r["pts"] == [k * M.TICKS for k in range(n)] and r["random_access"] == [k * M.UNIT for k in range(0, n, M.RANDOM_ACCESS)]
+
+
 def test_columns(spark):
     got = M.media_columns(awkward(spark, clash=True)).collect()
     assert len(got) == len(AWKWARD)
