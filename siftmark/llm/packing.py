@@ -3,10 +3,10 @@
 Each task packs its own documents as they come. ``level[h]`` is the number of open
 sequences with h tokens; a document of s tokens goes where the sum of the squared
 counts of partially filled levels gets smallest: on an open sequence of some level h,
-or into a new one. Documents longer than a sequence give full sequences of their own
-and only their rest is placed. Open sequences are bounded: beyond ``MOST_OPEN``, and at
-the end of the task, the emptiest are cut up to fill the gaps of the fullest, so a task
-leaves at most one sequence that isn't full.
+or into a new one. Documents longer than a sequence give full sequences of their own and
+only their rest is placed, by this rule alone, however many sequences are open: a task holds
+the ids of its open ones, which are never more than it has read. At the end of the task the
+emptiest are cut up to fill the gaps of the fullest, so it leaves at most one that isn't full.
 """
 
 from __future__ import annotations
@@ -24,8 +24,6 @@ from siftmark.llm.shared import ship, trim
 
 #: Tokens of a sequence; the id after each document; the tokenizer file.
 LENGTH, END, TOKENIZER = 4096, 2, "word_bpe_49k.json"
-#: Open sequences that a task holds (16 kB of ids each).
-MOST_OPEN = 512
 SLICE = 256
 SCHEMA = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
@@ -33,8 +31,8 @@ SCHEMA = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_
 class Packer:
     """Places (doc, start, ids as bytes, tokens of the document) pieces; closed sequences are given to ``emit``."""
 
-    def __init__(self, emit, length: int = LENGTH, most_open: int = MOST_OPEN):
-        self.emit, self.length, self.most_open = emit, length, most_open
+    def __init__(self, emit, length: int = LENGTH):
+        self.emit, self.length = emit, length
         self.level = np.zeros(length + 1, np.int64)
         self.bins: dict[int, list[list]] = {}
         self.open = 0
@@ -65,8 +63,6 @@ class Packer:
         else:
             pieces = [piece]
         self.put(h + s, pieces)
-        if self.open > self.most_open:
-            self.settle(self.most_open // 2)
 
     def put(self, fill: int, pieces: list) -> None:
         if fill == self.length:
@@ -81,9 +77,9 @@ class Packer:
         self.open -= 1
         return self.bins[fill].pop()
 
-    def settle(self, leave: int) -> None:
-        """Cuts up the emptiest open sequences into the gaps of the fullest until ``leave`` are open."""
-        while self.open > max(leave, 1):
+    def settle(self) -> None:
+        """Cuts up the emptiest open sequences into the gaps of the fullest until one is open."""
+        while self.open > 1:
             there = np.flatnonzero(self.level)
             least = int(there[0])
             source = self.take(least)
@@ -102,7 +98,7 @@ class Packer:
                 self.put(sum(len(p[2]) for p in source) // 4, source)
 
     def end(self) -> None:
-        self.settle(1)
+        self.settle()
         for found in self.bins.values():
             for pieces in found:
                 self.emit(pieces)
@@ -110,12 +106,11 @@ class Packer:
 
 def document_ids(tokenizer, cache: vocab.Cache, texts: list[str]) -> Iterator[bytes]:
     """Ids of each text as ``tokenizer.encode(text, add_special_tokens=False)`` has them, as bytes; words are encoded once."""
-    # special strings are matched before texts are lower-cased
+    # special strings are matched before texts are lower-cased; they hold no white space
     special = vocab.special_strings(tokenizer)
     for t in texts:
-        words = vocab.WORD.findall(t) if any(x in t for x in special) else vocab.word_tokens(t)
-        yield b"".join(map(cache.__getitem__, words))
-        cache.turn()
+        chunks = vocab.WORD.findall(t) if any(x in t for x in special) else vocab.word_chunks(t)
+        yield b"".join(map(cache.__getitem__, chunks))
 
 
 def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: int = END) -> DataFrame:

@@ -1,16 +1,17 @@
 """Token counts without materialising ids.
 
-Texts are taken apart into the tokenizer's pre-tokens (beyond Latin-1 into words, which the
-library takes apart further by itself; its pattern never joins across them).
-Each distinct pre-token is given to the tokenizer once and only its number of pieces is
-kept; a document's count is the sum over its pre-tokens of frequency times pieces. The
-join is local to a task: pieces of the distinct pre-tokens that it has met, held in a
-bounded cache, are looked up by each document's frequencies. Shuffling (document,
+Texts are taken apart into the tokenizer's pre-tokens, by its own pattern for all of Unicode;
+special strings, which are matched before, are split off and are one token each. Each
+distinct pre-token is given to the tokenizer once and only its number of pieces is kept; a
+document's count is the sum over its pre-tokens of frequency times pieces. The join is local
+to a task: pieces of the distinct pre-tokens that it has met, held in a cache bounded in
+entries and bytes, are looked up by each document's frequencies. Shuffling (document,
 pre-token, frequency) rows instead would move several times the input.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,14 +30,18 @@ TOKENIZER, LIMIT = "byte_bpe_50k.json", 1024
 def count_texts(tokenizer, cache: vocab.Cache, texts: list[str]) -> list[int]:
     """Tokens of each text as ``tokenizer.encode(text, add_special_tokens=False)`` has them."""
     special = vocab.special_strings(tokenizer)
+    cut = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))) or "(?!)")
     out = []
     for t in texts:
-        if any(s in t for s in special):
-            # special strings are matched before pre-tokens are made, so such a text is encoded by itself
-            out.append(len(tokenizer.encode(t, add_special_tokens=False).ids))
-        else:
-            out.append(sum(n * cache[p] for p, n in Counter(vocab.byte_level_tokens(t)).items()))
-        cache.turn()
+        parts = cut.split(t) if any(s in t for s in special) else [t]
+        n = len(parts) - 1
+        for part in parts:
+            tokens = vocab.byte_level_tokens(part)
+            if tokens is None:
+                n += len(tokenizer.encode(part, add_special_tokens=False).ids)
+            else:
+                n += sum(k * cache[p] for p, k in Counter(tokens).items())
+        out.append(n)
     return out
 
 

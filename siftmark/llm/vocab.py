@@ -4,17 +4,23 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from array import array
+from functools import lru_cache
+
+import regex
 
 #: White space as the tokenizers' patterns know it (Unicode White_Space).
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: A word with the space before it, or a run of white space less the last character before a word, or that character.
-CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 WORD = re.compile(f"[^{SPACE}]+")
-#: Letters, numbers and white space of Latin-1, where the tokenizers' own patterns can be spelt out.
+#: What str.split() takes for white space beyond that.
+SEPARATOR = re.compile("[\x1c-\x1f]")
+#: The byte-level tokenizer's pattern, spelt out for all of Unicode and, with the same pre-tokens, for texts of Latin-1.
+_REST = "'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
+_PATTERN = _REST.replace("{L}", r"\p{L}").replace("{N}", r"\p{N}").replace("{S}", SPACE)
 _L, _N, _S = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
-LATIN_BYTE_LEVEL = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-LATIN_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
+BYTE_LEVEL = regex.compile(_PATTERN)
+LATIN_BYTE_LEVEL = re.compile(_REST.replace("{L}", _L).replace("{N}", _N).replace("{S}", _S))
 
 
 def latin(text: str) -> bool:
@@ -26,18 +32,36 @@ def latin(text: str) -> bool:
     return True
 
 
-def byte_level_tokens(text: str) -> list[str]:
-    """Pre-tokens of byte-level BPE; beyond Latin-1 a word is left whole, for the library to take apart."""
-    return (LATIN_BYTE_LEVEL if latin(text) else CHUNK).findall(text)
+@lru_cache(1)
+def _newer():
+    """A pattern of the letters and numbers that Python's own tables don't know: the tokenizer may not know them either."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    new = [ord(c) for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn"]
+    ranges: list[list[int]] = []
+    for c in new:
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges) + "]") if ranges else re.compile("(?!)")
+
 
+def byte_level_tokens(text: str) -> list[str] | None:
+    """Pre-tokens of byte-level BPE; None for a text with letters or numbers so new that the tokenizer has to be asked."""
+    if latin(text):
+        return LATIN_BYTE_LEVEL.findall(text)
+    return None if _newer().search(text) else BYTE_LEVEL.findall(text)
 
-def word_tokens(text: str) -> list[str]:
-    """Pre-tokens of lower-casing word BPE; beyond Latin-1 a word is left whole and as it is."""
-    return LATIN_WORD.findall(text.lower()) if latin(text) else WORD.findall(text)
 
+def word_chunks(text: str) -> list[str]:
+    """What lies between white space, which word BPE drops; its pre-tokens never go across. Latin-1 in lower case, as the tokenizer has it."""
+    if latin(text):
+        text = text.lower()
+    return WORD.findall(text) if SEPARATOR.search(text) else text.split()
 
-#: Entries of one generation of a cache; two are held.
-GENERATION = 150_000
+
+#: Entries of one generation of a cache, of which two are held, and the longest word that is: at most some 100 MB with its pieces.
+GENERATION, LONGEST = 150_000, 64
 
 
 def default_path(name: str) -> str:
@@ -52,26 +76,25 @@ _caches: list[Cache] = []
 class Cache(dict):
     """word -> what ``encode`` gives for it, in two generations: the older one is forgotten when the younger is full.
 
-    ``turn`` is called between documents, so a document's own words never outgrow it by more than themselves.
+    Words over ``longest`` code points are encoded each time, so the bytes are bounded as the entries are, whatever the texts.
     """
 
-    def __init__(self, encode, size: int = GENERATION):
+    def __init__(self, encode, size: int = GENERATION, longest: int = LONGEST):
         super().__init__()
-        self.encode, self.size, self.old = encode, size, {}
+        self.encode, self.size, self.longest, self.old = encode, size, longest, {}
         _caches.append(self)
 
     def __missing__(self, word):
         value = self.old.get(word)
         if value is None:
             value = self.encode(word)
-        self[word] = value
+        if len(word) <= self.longest:
+            if len(self) >= self.size:
+                self.old = dict(self)
+                self.clear()
+            self[word] = value
         return value
 
-    def turn(self) -> None:
-        if len(self) > self.size:
-            self.old = dict(self)
-            self.clear()
-
 
 _loaded: dict[tuple[str, str], tuple] = {}
 
