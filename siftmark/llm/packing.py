@@ -109,7 +109,7 @@ def document_ids(tokenizer, cache: vocab.Cache, texts: list[str]) -> Iterator[by
     # special strings are matched before texts are lower-cased; they hold no white space
     special = vocab.special_strings(tokenizer)
     for t in texts:
-        chunks = vocab.WORD.findall(t) if any(x in t for x in special) else vocab.word_chunks(t)
+        chunks = vocab.WORD.findall(t) if any(x in t for x in special) else vocab.word_tokens(t)
         yield b"".join(map(cache.__getitem__, chunks))
 
 

@@ -13,13 +13,12 @@ import regex
 #: White space as the tokenizers' patterns know it (Unicode White_Space).
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORD = re.compile(f"[^{SPACE}]+")
-#: What str.split() takes for white space beyond that.
-SEPARATOR = re.compile("[\x1c-\x1f]")
 #: The byte-level tokenizer's pattern, spelt out for all of Unicode and, with the same pre-tokens, for texts of Latin-1.
 _REST = "'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
 _PATTERN = _REST.replace("{L}", r"\p{L}").replace("{N}", r"\p{N}").replace("{S}", SPACE)
 _L, _N, _S = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 BYTE_LEVEL = regex.compile(_PATTERN)
+LATIN_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 LATIN_BYTE_LEVEL = re.compile(_REST.replace("{L}", _L).replace("{N}", _N).replace("{S}", _S))
 
 
@@ -53,15 +52,28 @@ def byte_level_tokens(text: str) -> list[str] | None:
     return None if _newer().search(text) else BYTE_LEVEL.findall(text)
 
 
-def word_chunks(text: str) -> list[str]:
-    """What lies between white space, which word BPE drops; its pre-tokens never go across. Latin-1 in lower case, as the tokenizer has it."""
-    if latin(text):
-        text = text.lower()
-    return WORD.findall(text) if SEPARATOR.search(text) else text.split()
+def word_tokens(text: str) -> list[str]:
+    """Pre-tokens of lower-casing word BPE, which drops white space; beyond Latin-1 what lies between white space, as it is, for the library to take apart."""
+    return LATIN_WORD.findall(text.lower()) if latin(text) else WORD.findall(text)
+
+
+def _alphabet() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level models: a byte that prints is itself, the others follow from 256 on, in order."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in prints]
+    return {**{b: chr(b) for b in prints}, **{b: chr(256 + k) for k, b in enumerate(others)}}
+
+
+_BYTES = _alphabet()
+
+
+def as_bytes(token: str) -> str:
+    """A pre-token in the alphabet of byte-level models."""
+    return token.encode().decode("latin-1").translate(_BYTES)
 
 
-#: Entries of one generation of a cache, of which two are held, and the longest word that is: at most some 100 MB with its pieces.
-GENERATION, LONGEST = 150_000, 64
+#: Entries of one generation of a cache, of which two are held, and the longest word that is: some 150 MB with its pieces at most.
+GENERATION, LONGEST = 250_000, 64
 
 
 def default_path(name: str) -> str:
@@ -109,15 +121,14 @@ def load(path: str, kind: str = "ids") -> tuple:
         t.no_truncation()
         t.no_padding()
         pieces, whole = t.model.tokenize, t.encode
-        plain = re.compile("[a-z]+" if kind == "ids" else " ?[a-zA-Z]+").fullmatch
+        plain = re.compile("[a-z\xdf-\xf6\xf8-\xff]+").fullmatch
 
         def ids(word: str) -> bytes:
-            # ASCII letters are what they are to the model; all else goes through the whole tokenizer
-            return id_bytes([x.id for x in pieces(word)] if plain(word) else whole(word, add_special_tokens=False).ids)
+            # lower-case letters are a pre-token that nothing normalises; all else goes through the whole tokenizer
+            return id_bytes([x.id for x in pieces(as_bytes(word))] if plain(word) else whole(word, add_special_tokens=False).ids)
 
-        def count(word: str) -> int:
-            # the model's alphabet has a letter for the space
-            return len(pieces("\u0120" + word[1:] if word[0] == " " else word) if plain(word) else whole(word, add_special_tokens=False).ids)
+        def count(token: str) -> int:
+            return len(pieces(as_bytes(token)))
 
         _loaded[path, kind] = (t, Cache(ids if kind == "ids" else count))
     return _loaded[path, kind]
