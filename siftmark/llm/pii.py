@@ -34,6 +34,8 @@ NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "ph
 ADDED = ("generalised", "removed")
 #: Least documents of a pair; disclosure from which terms are generalised and removed; least letters of a term.
 SUPPORT, GENERALISE, REMOVE, LETTERS = 3, 0.8, 0.95, 3
+#: Words of one text that are looked for by one pattern.
+FORMS = 64
 #: Code points of the blocks that a text is cut into where spans are replaced.
 BLOCK = 1024
 PART = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
@@ -162,15 +164,33 @@ def disclosing(found: DataFrame, spans: DataFrame, texts: DataFrame, n_docs: int
 
 
 def occurrences(texts: DataFrame, told: DataFrame) -> DataFrame:
-    """(text_hash, kind, start, end): all places of the terms of ``told`` in each distinct text."""
+    """(text_hash, kind, start, end): all places of the terms of ``told`` in each distinct text.
+
+    The words of a text that are terms are found first, as distinct ones; then the text is split at these alone. Only for
+    texts with over FORMS of them, for which a pattern of all would be slow, every letter run is looked up by itself.
+    """
     n = told.count()
-    every = texts.select("text_hash", F.explode(_terms(F.col("text"))).alias("term"))
-    hit = saved(every.join(sized(told.select("term"), n), "term", "left_semi").select("text_hash").distinct(), "hit")
-    rows = texts.join(sized(hit, hit.count()), "text_hash", "left_semi").dropDuplicates(["text_hash"])
-    # letter runs are one code point apart, so their places are sums of lengths
-    runs = rows.select("text_hash", F.posexplode(F.split("text", r"[^\p{L}]", -1)).alias("i", "w"))
+    raws = F.array_distinct(F.filter(F.split("text", r"[^\p{L}]+"), lambda w: F.length(w) >= LETTERS))
+    every = texts.select("text_hash", F.explode(raws).alias("raw")).withColumn("term", F.lower("raw"))
+    hit = saved(every.join(sized(told.select("term"), n), "term", "left_semi").groupBy("text_hash").agg(F.collect_set("raw").alias("raws")), "hit")
+    size, most = hit.agg(F.coalesce(F.sum(F.size("raws") + 1), F.lit(0)), F.max(F.size("raws"))).first()
+
+    def of(hit: DataFrame) -> DataFrame:
+        return texts.join(sized(hit, size, BROADCAST_ROWS // 4), "text_hash").dropDuplicates(["text_hash"])
+
     upto = Window.partitionBy("text_hash").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    runs = runs.withColumn("end", F.sum(F.length("w")).over(upto) + F.col("i")).filter(F.length("w") >= LETTERS)
+    # longer forms need not come first: what follows a form must not be a letter
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.concat_ws("|", "raws"), F.lit(r")(?!\p{L})"))
+    rows = of(hit.filter(F.size("raws") <= FORMS)).select("text_hash", "text", pattern.alias("pattern"))
+    values = F.regexp_extract_all("text", F.col("pattern"), F.lit(0))
+    gaps = F.transform(F.split("text", F.col("pattern"), -1), F.length)
+    runs = rows.select("text_hash", F.posexplode(F.arrays_zip(values.alias("w"), F.slice(gaps, F.lit(1), F.size(values)).alias("before"))).alias("i", "z"))
+    runs = runs.select("text_hash", F.col("z.w").alias("w"), F.sum(F.col("z.before") + F.length("z.w")).over(upto).alias("end"))
+    if (most or 0) > FORMS:
+        # letter runs are one code point apart, so their places are sums of lengths
+        more = of(hit.filter(F.size("raws") > FORMS)).select("text_hash", F.posexplode(F.split("text", r"[^\p{L}]", -1)).alias("i", "w"))
+        more = more.withColumn("end", F.sum(F.length("w")).over(upto) + F.col("i")).filter(F.length("w") >= LETTERS)
+        runs = runs.unionByName(more.select("text_hash", "w", "end"))
     runs = runs.select("text_hash", F.lower("w").alias("term"), (F.col("end") - F.length("w")).alias("start"), "end").join(sized(told, n), "term")
     return runs.select("text_hash", "kind", "start", "end")
 

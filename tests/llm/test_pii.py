@@ -5,6 +5,7 @@ import random
 import re
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from siftmark.llm import pii
@@ -42,7 +43,9 @@ def test_revealing_terms(spark):
     assert "Zerko" not in clean[0] and "secret.org" not in clean[0] and "[EMAIL]" in clean[0] and clean[20] == rows[20][1]
 
 
-def test_terms_beyond_the_context(spark):
+@pytest.mark.parametrize("forms", [64, 1])
+def test_terms_beyond_the_context(spark, monkeypatch, forms):
+    monkeypatch.setattr(pii, "FORMS", forms)
     far = "all sorts of words " * 10
     rows = [(k, f"Zerko signs. {far} 12345678 Write to top@secret.org now, ZERKO {far} Zerko") for k in range(5)]
     rows += [(5, "Only Zerko is named here."), (6, "zerkos aren't meant, \U0001F600 ZERKO is"), (7, f"{far} 12345678 now")]
