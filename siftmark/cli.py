@@ -75,7 +75,7 @@ def split(spark, a):
 
 def q0(spark, a):
     given = {k: getattr(a, k) for k in ("porn_weight", "politics_weight", "abuse_weight", "base_prob", "max_prob", "min_matches")}
-    config = KnowledgeConfig(**{k: v for k, v in given.items() if v is not None}, use_regex=a.use_regex)
+    config = load(KnowledgeConfig, a.config, "q0", **given, use_regex=a.use_regex or None)
     rows = knowledge.with_q0(_texts(spark, a.input), _lexicon(spark, a.lexicon_dir), config, _rules(spark, a.lexicon_dir), not a.no_details)
     files.write_json_lines(rows.drop("n_porn", "n_politics", "n_abuse"), a.output)
 
@@ -193,7 +193,7 @@ COMMANDS = {
     "label": (label, (*PAIR, ("lexicon-dir", {}), ("batch-size", {"type": int, "default": 10}), ("max-retries", {"type": int, "default": 3}), ("subtypes", {"action": "store_true"}))),
     "split": (split, (*PAIR, ("train-ratio", {"type": float, "default": 0.8}), ("dev-ratio", {"type": float, "default": 0.1}), ("test-ratio", {"type": float, "default": 0.1}),
                       ("random-seed", {"type": int, "default": 42}), ("stratify-field", {"default": "coarse_label"}))),
-    "q0": (q0, (*PAIR, ("lexicon-dir", {}), *((n, {"type": float, "default": None}) for n in ("porn-weight", "politics-weight", "abuse-weight", "base-prob", "max-prob")),
+    "q0": (q0, (*PAIR, ("lexicon-dir", {}), ("config", {"default": ""}), *((n, {"type": float, "default": None}) for n in ("porn-weight", "politics-weight", "abuse-weight", "base-prob", "max-prob")),
                 ("min-matches", {"type": int, "default": None}), ("use-regex", {"action": "store_true"}), ("no-details", {"action": "store_true"}))),
     "eval-q0": (eval_q0, (*PAIR, ("baseline", {"default": ""}))),
     "search-q0": (search_q0, (*PAIR, ("lexicon-dir", {}), ("mode", {"default": "fast", "choices": list(knowledge.GRIDS)}))),

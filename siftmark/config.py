@@ -10,6 +10,10 @@ CATEGORIES = ("porn", "politics", "abuse")
 SUBTYPES = (*CATEGORIES, "other")
 
 
+#: Keys of configuration files that are named otherwise here. The defaults of the classes below are fixed values too.
+RENAMED = {"base_sensitive_prob": "base_prob", "max_sensitive_prob": "max_prob", "min_matches_for_sensitive": "min_matches"}
+
+
 @dataclass(frozen=True)
 class CleanConfig:
     min_length: int = 5
@@ -61,6 +65,7 @@ def load(cls, path: str | None = None, section: str | None = None, **given):
 
         data = yaml.safe_load(Path(path).read_text("utf-8")) or {}
         found = data.get(section, {}) if section else data
+    found = {RENAMED.get(k, k): v for k, v in found.items()}
     names = {f.name for f in fields(cls)}
     values = {k: v for k, v in {**found, **{k: v for k, v in given.items() if v is not None}}.items() if k in names}
     return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in values.items()})

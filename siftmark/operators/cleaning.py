@@ -17,7 +17,11 @@ def clean_rows(docs: DataFrame, config: CleanConfig = CleanConfig(), text: str =
 
 
 def dedup_keep_first(docs: DataFrame, order: list[str | Column], text: str = "text") -> DataFrame:
-    """The first row in input order of each exact text. A text's hash is computed and dealt, not the text."""
+    """The first row in input order of each exact text.
+
+    Rows are dealt by the text's hash. Copies are dropped before they are dealt but for the first of each task, so a frequent
+    text is no hot key; the first ones move with their texts.
+    """
     w = Window.partitionBy(T.text_hash(F.col(text))).orderBy(*order)
     return docs.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
 

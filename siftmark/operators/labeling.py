@@ -24,6 +24,8 @@ from siftmark.operators.matching import Lexicon
 
 #: What the message of a refusal holds.
 REFUSALS = ("安全", "违规", "阻止")
+#: Tasks that share a limit of calls.
+LIMITED = 4
 
 
 class LabelBackend(Protocol):
@@ -57,6 +59,7 @@ class LabelTask:
     batch_size: int = 10
     max_retries: int = 3
     delay_s: float = 0.0
+    #: Calls of all tasks together, repeated ones too.
     calls_per_minute: int | None = None
     #: Characters of a text in a batch of several; None for whole texts.
     batch_chars: int | None = 1000
@@ -75,10 +78,16 @@ def run_task(rows: DataFrame, backend: LabelBackend, task: LabelTask, done: Data
     schema = T.StructType([*todo.schema.fields, T.StructField("__answer", T.StringType()), T.StructField("__blocked", T.BooleanType())])
     size, tries, delay = task.batch_size, task.max_retries, task.delay_s
     most = task.batch_chars if size > 1 else None
-    pause = 60.0 / task.calls_per_minute if task.calls_per_minute else 0.0
+    # the limit holds for all tasks together: there are LIMITED of them at most, and each takes its part
+    pause = LIMITED * 60.0 / task.calls_per_minute if task.calls_per_minute else 0.0
+    todo = todo.coalesce(LIMITED) if pause else todo
+    last = [0.0]
 
     def call(texts: list[str]) -> list[str]:
         for attempt in range(tries):
+            if pause and (wait := last[0] + pause - time.monotonic()) > 0:
+                time.sleep(wait)
+            last[0] = time.monotonic()
             try:
                 return backend.answer(texts)
             except Refused:
@@ -98,13 +107,9 @@ def run_task(rows: DataFrame, backend: LabelBackend, task: LabelTask, done: Data
             return None, False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = 0.0
         for batch in batches:
             texts, answers = batch.column(at).to_pylist(), []
             for k in range(0, len(texts), size):
-                if pause and (wait := last + pause - time.monotonic()) > 0:
-                    time.sleep(wait)
-                last = time.monotonic()
                 part = texts[k : k + size]
                 try:
                     got = call([t if most is None or len(t) <= most else t[:most] + TAIL for t in part])

@@ -13,7 +13,9 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftmark.config import CATEGORIES
@@ -21,6 +23,8 @@ from siftmark.config import CATEGORIES
 Lexicon = dict[str, tuple[str, ...]]
 #: Up to so many words are counted with built-in expressions.
 FEW_WORDS = 200
+#: Most characters of a text whose n-grams are joined.
+GRAM_CHARS = 50_000
 
 
 def lexicon_of(rows: DataFrame) -> Lexicon:
@@ -103,22 +107,29 @@ def automaton_counts(docs: DataFrame, lexicon: Lexicon, text: str = "text", mode
 
 
 def ngram_matches(docs: DataFrame, words: DataFrame, id_col: str = "id", text: str = "text") -> DataFrame:
-    """(id, category, word, n) by an equi-join of the texts' n-grams with a (category, word) table; for short texts."""
+    """(id, category, word, n) by an equi-join of the texts' n-grams with a (category, word) table.
+
+    A text makes a row for each of its places and each length of word, so texts over GRAM_CHARS characters are an error;
+    the other two ways take any.
+    """
     words = words.select("category", F.lower("word").alias("word")).filter("word <> ''").distinct().withColumn("size", F.length("word"))
-    sizes = words.select("size").distinct()
+    sizes = sorted(r["size"] for r in words.select("size").distinct().collect())  # a few numbers
     low = F.lower(text)
-    grams = docs.select(id_col, low.alias("low")).join(F.broadcast(sizes), F.length("low") >= F.col("size"))
+    long = F.raise_error(F.lit(f"texts over {GRAM_CHARS} characters need another way of matching"))
+    docs = docs.select(id_col, F.when(F.length(low) > GRAM_CHARS, long.cast("string")).otherwise(low).alias("low"))
+    grams = docs.select(id_col, "low", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")).alias("size")).filter(F.length("low") >= F.col("size"))
     grams = grams.select(id_col, "size", F.explode(F.transform(F.sequence(F.lit(1), F.length("low") - F.col("size") + 1), lambda i: F.substring(F.col("low"), i, F.col("size")))).alias("word"))
     return grams.join(words.drop("size"), "word").groupBy(id_col, "category", "word").agg(F.count("*").alias("n"))
 
 
 def valid_rules(rules: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    """Rules (pattern, description) whose pattern compiles."""
+    """Rules (pattern, description) whose pattern compiles where it will run: in the JVM."""
     out = []
+    compiler = SparkSession.active().sparkContext._jvm.java.util.regex.Pattern
     for p, d in rules:
         try:
-            re.compile(p)
-        except re.error:
+            compiler.compile(f"(?iu){p}")
+        except (Py4JJavaError, IllegalArgumentException):
             continue
         out.append((p, d))
     return out

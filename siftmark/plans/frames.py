@@ -59,9 +59,14 @@ COUNTED = (
 )
 
 
-def scored(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with q0."""
-    return with_q0(documents(spark, d), LEXICON, CONFIG)
+def scored(spark: SparkSession, d: str, labelled: bool = False) -> DataFrame:
+    """Documents with q0; with ``labelled`` those alone that have labels, which are picked before any text is matched."""
+    return with_q0(labelled_documents(spark, d) if labelled else documents(spark, d), LEXICON, CONFIG)
+
+
+def labelled_documents(spark: SparkSession, d: str) -> DataFrame:
+    ids = table(spark, d, "labels").select(F.col("doc_id").alias("__l"))
+    return documents(spark, d).join(ids, F.col("doc_id") == F.col("__l"), "left_semi")
 
 
 def q_sql(base=CONFIG.base_prob, most=CONFIG.max_prob, least="1", pol=CONFIG.politics_weight, abu=CONFIG.abuse_weight) -> str:
@@ -77,7 +82,7 @@ SCORED = f"{COUNTED}, scored AS (SELECT *, 1 - q1 AS q0 FROM (SELECT *, {q_sql()
 
 def joined(spark: SparkSession, d: str) -> DataFrame:
     """Predictions with knowledge: p0, p1, q0, q1."""
-    q = scored(spark, d).select(F.col("doc_id").alias("__d"), F.col("q0")[0].alias("q0"), F.col("q0")[1].alias("q1"), *[f"n_{c}" for c in CATEGORIES], "text")
+    q = scored(spark, d, labelled=True).select(F.col("doc_id").alias("__d"), F.col("q0")[0].alias("q0"), F.col("q0")[1].alias("q1"), *[f"n_{c}" for c in CATEGORIES], "text")
     return predictions(spark, d).join(q, F.col("doc_id") == F.col("__d")).drop("__d")
 
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftmark.config import CATEGORIES, CleanConfig
@@ -12,24 +9,10 @@ from siftmark.functions import parsing as P
 from siftmark.functions import scores as S
 from siftmark.functions import text as T
 from siftmark.operators import calibration, cleaning, credibility, fusion, hardset, knowledge, labeling, lexicon, matching, metrics, sampling
+from siftmark.plans import file_queries  # noqa: F401  registers its queries
 from siftmark.plans import frames as I
 from siftmark.plans.frames import ALPHAS, COUNTED, JOINED, PRED, SCORED, THRESHOLDS, bucket_sql, fuse_sql
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function as a query under its name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
+from siftmark.plans.registry import ORACLES, QUERIES, query
 
 def r6(*names: str) -> list:
     return [F.round(n, 6).alias(n) for n in names]
@@ -78,18 +61,18 @@ def clean_text(spark, d):
     return cleaning.clean_rows(I.documents(spark, d).select("doc_id", _post().alias("text")))
 
 
-#: Every seventh document is short, so that some are too short; copies are there already.
-_SHORT = "CASE WHEN doc_id % 7 = 0 THEN left(text, doc_id % 9) ELSE text END"
+#: Short texts, some of them too short, beside the documents.
+_TEXTS = "(SELECT doc_id, text FROM documents UNION ALL SELECT -i, left('abcdefgh', CAST(i AS INTEGER)) FROM range(9) t(i)) documents"
 
 
 @query(
-    f"""WITH c AS ({_clean_sql(_SHORT)})
+    f"""WITH c AS ({_clean_sql('text').replace('FROM documents', f'FROM {_TEXTS}')})
     SELECT count(*) AS total, count(cleaned) AS processed, count(*) - count(cleaned) AS filtered,
            count(cleaned) - count(DISTINCT cleaned) AS deduplicated, count(DISTINCT cleaned) AS output FROM c"""
 )
 def clean_stats(spark, d):
-    short = F.when(F.col("doc_id") % 7 == 0, F.left("text", F.col("doc_id") % 9)).otherwise(F.col("text"))
-    return cleaning.clean_stats(I.documents(spark, d).select(short.alias("text")))
+    short = spark.range(9).select(F.left(F.lit("abcdefgh"), F.col("id").cast("int")).alias("text"))
+    return cleaning.clean_stats(I.documents(spark, d).select("text").union(short))
 
 
 @query("SELECT min(doc_id) AS doc_id, md5(text) AS hash FROM documents WHERE text IS NOT NULL GROUP BY text")
@@ -854,7 +837,7 @@ def last_wins(spark, d):
 )
 def flagship(spark, d):
     """Clean, match, score, join with predictions, fuse, and count errors by bucket of uncertainty."""
-    posts = cleaning.clean_rows(I.documents(spark, d).select("doc_id", _post().alias("text")), CleanConfig())
+    posts = cleaning.clean_rows(I.labelled_documents(spark, d).select("doc_id", _post().alias("text")), CleanConfig())
     q = knowledge.with_q0(posts, I.LEXICON, I.CONFIG).select(F.col("doc_id").alias("__d"), F.col("q0")[0].alias("q0"), F.col("q0")[1].alias("q1"))
     x = I.predictions(spark, d).join(q, F.col("doc_id") == F.col("__d"))
     x = fusion.fused(x, _alpha()).withColumn("bucket_id", S.bucket(F.col("uncertainty")))

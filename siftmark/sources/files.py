@@ -31,14 +31,19 @@ def predictions(spark: SparkSession, path: str, drop_falsy_id: bool = True) -> D
     x = x.filter("pred_probs IS NOT NULL AND uncertainty IS NOT NULL AND id IS NOT NULL")
     x = x.filter("id NOT IN ('', '0')") if drop_falsy_id else x
     p = F.col("pred_probs")
-    x = x.withColumns({"pred_label": F.coalesce("pred_label", (p[1] > p[0]).cast("int")), "__pos": F.monotonically_increasing_id()})
+    x = x.withColumns({"pred_label": F.coalesce("pred_label", (p[1] > p[0]).cast("int")), "__pos": _position()})
     return last_wins(x, "id", "__pos").drop("__pos")
 
 
+def _position():
+    """Where a row stands: files by path, blocks by their place, rows as they are read. Row ids alone follow how files were dealt to tasks."""
+    return F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+
+
 def posteriors(spark: SparkSession, path: str, field: str = "q0") -> DataFrame:
     """id and one posterior; of equal ids the last one."""
     x = json_lines(spark, path, f"id string, {field} array<double>").filter(F.col("id").isNotNull() & F.col(field).isNotNull())
-    return last_wins(x.withColumn("__pos", F.monotonically_increasing_id()), "id", "__pos").drop("__pos")
+    return last_wins(x.withColumn("__pos", _position()), "id", "__pos").drop("__pos")
 
 
 def csv_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -77,7 +82,9 @@ def write_json_lines(df: DataFrame, path: str, append: bool = False) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """A CSV table with header, as :func:`csv_table` reads it back; a null is an empty field, an empty text a quoted one."""
+    writer = df.write.mode("overwrite").option("header", True).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_report(df: DataFrame, path: str) -> None:

@@ -245,3 +245,50 @@ def test_ingest_twice(spark, tmp_path):
     (src / "b.txt").write_text("two")
     incremental.ingest_new(incremental.text_stream(spark, str(src)), out, str(tmp_path / "cp2"), "path")
     assert sorted(r["text"] for r in spark.read.parquet(out).collect()) == ["one", "two"]
+
+
+def test_rules_are_validated_where_they_run(spark):
+    rules = [("(?P<x>a)", "python only"), (r"b++", "java only"), ("(", "neither"), ("c", "both")]
+    assert [d for _, d in matching.valid_rules(rules)] == ["java only", "both"]
+    df = spark.createDataFrame([("abbc",)], "t string")
+    assert df.select(matching.regex_hits(F.col("t"), rules)).first()[0] == ["java only", "both"]
+
+
+def test_words_are_counted_as_by_matching(spark):
+    from siftmark.functions import text as T
+
+    texts = ["", " ", "a", " a  b\t\n", "a　b\x1cc d", "\x1f", "中文 x", "a​b", "x " * 1000, None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    want = F.greatest(F.regexp_count("t", F.lit(f"[^{T.BLANKS}]+")), F.lit(1))
+    assert all(a == b for a, b in df.filter("t IS NOT NULL").select(T.word_count(F.col("t")), want).collect())
+
+
+def test_keys_of_the_knowledge_section(tmp_path):
+    from siftmark.config import KnowledgeConfig, load
+
+    (tmp_path / "c.yaml").write_text("q0:\n  base_sensitive_prob: 0.2\n  max_sensitive_prob: 0.9\n  min_matches_for_sensitive: 3\n  porn_weight: 2\n")
+    got = load(KnowledgeConfig, str(tmp_path / "c.yaml"), "q0", base_prob=0.3)
+    assert (got.base_prob, got.max_prob, got.min_matches, got.porn_weight) == (0.3, 0.9, 3, 2)
+
+
+def test_last_prediction_by_file_and_place(spark, tmp_path):
+    for name, p in (("b", 0.2), ("a", 0.9), ("c", 0.4)):
+        (tmp_path / f"{name}.jsonl").write_text("".join(f'{{"id": "x{k}", "pred_probs": [{1 - q}, {q}], "uncertainty": 0.1}}\n' for q in (0.7, p) for k in range(50 if name != "c" else 20)))
+    got = {r["id"]: r["pred_probs"][1] for r in files.predictions(spark, f"{tmp_path}/*.jsonl").collect()}
+    assert got == {f"x{k}": 0.4 if k < 20 else 0.2 for k in range(50)}
+
+
+def test_calls_are_limited_over_all_tasks(spark):
+    import time
+
+    rows = spark.range(6).select(F.col("id"), F.lit("some text").alias("text")).repartition(8)
+    t = time.monotonic()
+    out = labeling.run_task(rows, labeling.RuleBackend(LEX), labeling.LabelTask("coarse", lambda c: c, 1, calls_per_minute=240))
+    assert out.rdd.getNumPartitions() <= labeling.LIMITED and out.count() == 6 and time.monotonic() - t >= 1.0
+
+
+def test_long_texts_need_another_way(spark):
+    words = spark.createDataFrame([("porn", "aa")], "category string, word string")
+    df = spark.createDataFrame([(1, "a" * (matching.GRAM_CHARS + 1))], "id int, text string")
+    with pytest.raises(Exception, match="another way"):
+        matching.ngram_matches(df, words).collect()
