@@ -39,12 +39,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftmark.llm.components import components
-from siftmark.llm.shared import clear, forget, fresh, saved, scratch, ship, sized, trim
+from siftmark.llm.shared import clear, forget, fresh, saved, scratch, ship, sized, trim, trimmed
 
 #: Words of a shingle; links need NUM/DEN of the union or more.
 WORDS, NUM, DEN = 5, 75, 100
 #: Hashes that a task gathers before it deals them out; hashes that a bucket, rows of postings and shipped hashes that a task should hold.
-GATHER, BUCKET, POSTINGS, SHIPPED = 1_000_000, 2_000_000, 300_000, 4_000_000
+GATHER, BUCKET, POSTINGS, SHIPPED = 500_000, 1_000_000, 200_000, 2_000_000
 #: Members and hashes of a block; postings of one shingle that meet in one task, from which on they are split.
 BLOCK_MEMBERS, BLOCK_HASHES, CHUNK = 512, 1_000_000, 16_384
 #: Bytes of text that come to one dealt hash, about.
@@ -222,9 +222,9 @@ def _live(dealt: DataFrame, num: int, den: int) -> DataFrame:
         ok = shared > np.minimum(2 * p, n) - p
         return pa.table([pa.array(sets[ok]), pa.array(n[ok])], ["set", "n"])
 
-    by_g = dealt.filter("bucket >= 0").select("bucket", "g", "a", "b").groupBy("bucket").applyInArrow(bucket, counts)
+    by_g = dealt.filter("bucket >= 0").select("bucket", "g", "a", "b").groupBy("bucket").applyInArrow(trimmed(bucket), counts)
     own = dealt.filter(F.col("bucket") == SETS).select("g", F.lit(0).cast("long").alias("what"), "a", "b")
-    return own.unionByName(by_g).groupBy("g").applyInArrow(total, "set long, n long").distinct()
+    return own.unionByName(by_g).groupBy("g").applyInArrow(trimmed(total), "set long, n long").distinct()
 
 
 def _gathered(texts: DataFrame, n_buckets: int, words: int) -> DataFrame:
@@ -329,9 +329,9 @@ def _sets(gathered: DataFrame, n_buckets: int, num: int, den: int) -> DataFrame:
         ]
         return pa.table([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], [x.split(" ")[0] for x in kinds.split(", ")])
 
-    counted = gathered.filter("bucket >= 0").groupBy("bucket").applyInArrow(frequency, counts)
+    counted = gathered.filter("bucket >= 0").groupBy("bucket").applyInArrow(trimmed(frequency), counts)
     own = gathered.filter(F.col("bucket") == SETS).select("g", "bucket", "a", "b")
-    return own.unionByName(counted).groupBy("g").applyInArrow(ordered, kinds)
+    return own.unionByName(counted).groupBy("g").applyInArrow(trimmed(ordered), kinds)
 
 
 def _groups(sets: DataFrame) -> DataFrame:
@@ -410,7 +410,7 @@ def _block_pairs(groups: DataFrame, num: int, den: int) -> DataFrame:
     meets = F.transform(F.sequence(F.lit(0), (F.col("c") - 1).cast("int")), lambda o: F.struct(F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j"), (mine > o).cast("int").alias("side")))
     posts = posts.withColumn("t", F.explode(meets)).select("hash", "t.*", "n", "rest", "blk", "k")
     posts = posts.withColumn("part", F.pmod(F.xxhash64("hash", "i", "j"), F.lit(parts)))
-    found = posts.groupBy("part").applyInArrow(candidates, kinds)
+    found = posts.groupBy("part").applyInArrow(trimmed(candidates), kinds)
     alike = groups.filter("m > 1").select(F.col("blk").alias("a"), F.col("k").alias("ka"), F.col("blk").alias("b"), F.col("k").alias("kb"))
 
     def blocks(b: str, k: str) -> Column:
@@ -483,7 +483,7 @@ def _links(placed: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame
     parts = max(8, -(-(total or 0) // SHIPPED))
     legs = legs.withColumn("part", F.pmod(F.xxhash64("x", "y"), F.lit(parts)))
     shipped = placed.join(sized(legs, n_legs, 500_000), F.col("block") == F.col("b")).select("part", "x", "y", "side", "doc_id", "n", "cnt", "hashes")
-    return shipped.groupBy("part").applyInArrow(verify, "doc_id long, links long, least long")
+    return shipped.groupBy("part").applyInArrow(trimmed(verify), "doc_id long, links long, least long")
 
 
 def jaccard_join(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:

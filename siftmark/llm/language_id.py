@@ -38,7 +38,7 @@ LEAST = 2
 #: The score weighs evidence as of a text of so many bytes at most, so that it says how far languages are apart.
 WEIGHT_BYTES = 64
 #: Bytes that one step of scoring works on.
-STEP = 1 << 20
+STEP = 1 << 18
 #: Texts of a lower score are rejected by the filter.
 LEAST_SCORE = 0.5
 UNKNOWN = "und"
@@ -143,8 +143,9 @@ class ContextTrees:
         cost = self.bits[self.nodes[context], c[o:]].astype(np.float64)
         starts = np.asarray(starts, np.int64)
         ends = np.append(starts[1:] - o, len(c))
-        total = np.concatenate([np.zeros((1, cost.shape[1])), np.cumsum(cost, axis=0)])
-        return total[ends - o] - total[starts - o]
+        # summed text by text, so that a sum doesn't depend on what else is in the batch
+        total = np.add.reduceat(cost, np.stack([starts, ends], axis=1).ravel()[:-1] - o, axis=0)
+        return total[::2]
 
 
 def _excerpt(text: Column) -> Column:
@@ -228,7 +229,8 @@ def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(train(docs))
-    at = docs.columns.index("text")
+    at, names = docs.columns.index("text"), docs.columns
+    docs = docs.toDF(*[f"c{k}" for k in range(len(names))])  # names with dots can't be handed to Python
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         clear()
@@ -243,7 +245,7 @@ def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
                 yield part.filter(pa.array(keep, pa.bool_()))
         trim()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema).toDF(*names)
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:

@@ -99,9 +99,16 @@ def fresh(columns: list[str], name: str) -> str:
     return name
 
 
+#: Bytes of a batch that goes to a Python worker, where the session leaves the default.
+BATCH = "8m"
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once, for their Python workers to import."""
+    """Sends this package to the executors once, for their Python workers to import, and keeps their batches small."""
     sc = spark.sparkContext
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(limit, None) == "67108864b":
+        spark.conf.set(limit, BATCH)
     if getattr(sc, "_siftmark_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
@@ -128,8 +135,20 @@ def sized(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
 
 def clear() -> None:
     """Empties the word caches that tokenizing tasks have left in a Python worker; for tasks that don't tokenize."""
-    if vocab := sys.modules.get("siftmark.llm.vocab"):
-        vocab.empty()
+    if (vocab := sys.modules.get("siftmark.llm.vocab")) and vocab.empty():
+        trim()
+
+
+def trimmed(f):
+    """A function of a group's table that leaves no caches before and no freed memory behind it."""
+
+    def run(t: pa.Table) -> pa.Table:
+        clear()
+        out = f(t)
+        trim()
+        return out
+
+    return run
 
 
 def trim() -> None:

@@ -72,8 +72,8 @@ def as_bytes(token: str) -> str:
     return token.encode().decode("latin-1").translate(_BYTES)
 
 
-#: Entries of one generation of a cache, of which two are held, and the longest word that is: some 150 MB with its pieces at most.
-GENERATION, LONGEST = 250_000, 64
+#: Entries of one generation of a cache, of which two are held, the longest word that is, and marks of words met once.
+GENERATION, LONGEST, SEEN = 60_000, 64, 1 << 20
 
 
 def default_path(name: str) -> str:
@@ -88,23 +88,29 @@ _caches: list[Cache] = []
 class Cache(dict):
     """word -> what ``encode`` gives for it, in two generations: the older one is forgotten when the younger is full.
 
-    Words over ``longest`` code points are encoded each time, so the bytes are bounded as the entries are, whatever the texts.
+    A word is held from its second occurrence on (SEEN marks by hash tell of the first), as most are met once. Words over
+    ``longest`` code points are encoded each time, so the bytes are bounded as the entries are, whatever the texts.
     """
 
     def __init__(self, encode, size: int = GENERATION, longest: int = LONGEST):
         super().__init__()
         self.encode, self.size, self.longest, self.old = encode, size, longest, {}
+        self.seen = bytearray(SEEN)
         _caches.append(self)
 
     def __missing__(self, word):
         value = self.old.get(word)
         if value is None:
             value = self.encode(word)
-        if len(word) <= self.longest:
-            if len(self) >= self.size:
-                self.old = dict(self)
-                self.clear()
-            self[word] = value
+            at = hash(word) & SEEN - 1
+            if not self.seen[at] or len(word) > self.longest:
+                self.seen[at] = 1
+                return value
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+            self.seen = bytearray(SEEN)
+        self[word] = value
         return value
 
 
@@ -134,11 +140,13 @@ def load(path: str, kind: str = "ids") -> tuple:
     return _loaded[path, kind]
 
 
-def empty() -> None:
-    """Forgets all words."""
+def empty() -> bool:
+    """Forgets all words; whether there were any."""
+    held = any(c or c.old for c in _caches)
     for c in _caches:
         c.clear()
         c.old = {}
+    return held
 
 
 def special_strings(tokenizer) -> list[str]:

@@ -65,6 +65,7 @@ def test_cache_stays_bounded():
     for k in range(100):
         assert [c[str(k)], c[str(k // 2)], c["x" * (9 + k)]] == [str(k) * 2, str(k // 2) * 2, "x" * (18 + 2 * k)]
         assert len(c) + len(c.old) <= 20 and all(len(w) <= 8 for w in [*c, *c.old])
+    assert "99" not in c and c["99"] == "9999" and "99" in c
 
 
 def test_texts_without_blanks_do_not_fill_the_cache():
