@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from siftmark.llm import chat_format, exact_dedup, jaccard_join, language_id, media_ts, packing, pii, sentencepiece_scan, token_counts, toxicity
+from siftmark.llm import (
+    alignment, chat_format, exact_dedup, jaccard_join, language_id, media_ts, packing, pii, quality, sentencepiece_scan, token_counts, toxicity, vector_codes,
+)
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -15,10 +17,14 @@ QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_media_columns": media_ts.op9_media_columns,
     "op10_language_id": language_id.op10_language_id,
+    "op11_quality": quality.op11_quality,
+    "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_alignment": alignment.op13_alignment,
 }
 
 #: DuckDB SQL where SQL can express the query; the tests hold the others against brute force.
 ORACLES = {
     "op1_chat_format": chat_format.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
+    "op12_vector_codes": vector_codes.ORACLE,
 }
