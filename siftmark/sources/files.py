@@ -26,10 +26,15 @@ def line_count(spark: SparkSession, path: str) -> int:
 
 
 def predictions(spark: SparkSession, path: str, drop_falsy_id: bool = True) -> DataFrame:
-    """Predictions that have pred_probs and uncertainty; of equal ids the last one; pred_label falls back to the arg-max."""
-    x = json_lines(spark, path, "id string, coarse_label int, pred_label int, pred_prob double, pred_probs array<double>, uncertainty double")
-    x = x.filter("pred_probs IS NOT NULL AND uncertainty IS NOT NULL AND id IS NOT NULL")
-    x = x.filter("id NOT IN ('', '0')") if drop_falsy_id else x
+    """Predictions that have pred_probs and uncertainty; of equal ids the last one; pred_label falls back to the arg-max.
+
+    Without an id are those where it is null or absent and, with ``drop_falsy_id``, the empty text, false and the number 0; "0" is one.
+    """
+    x = json_lines(spark, path, "id variant, coarse_label int, pred_label int, pred_prob double, pred_probs array<double>, uncertainty double")
+    as_text = F.try_variant_get("id", "$", "string")
+    falsy = (as_text == "") | (F.schema_of_variant("id") != "STRING") & ((as_text == "false") | F.coalesce(as_text.try_cast("double") == 0, F.lit(False)))
+    x = x.filter(F.col("pred_probs").isNotNull() & F.col("uncertainty").isNotNull() & as_text.isNotNull() & (~falsy if drop_falsy_id else F.lit(True)))
+    x = x.withColumn("id", as_text)
     p = F.col("pred_probs")
     x = x.withColumns({"pred_label": F.coalesce("pred_label", (p[1] > p[0]).cast("int")), "__pos": _position()})
     return last_wins(x, "id", "__pos").drop("__pos")

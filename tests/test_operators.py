@@ -292,3 +292,16 @@ def test_long_texts_need_another_way(spark):
     df = spark.createDataFrame([(1, "a" * (matching.GRAM_CHARS + 1))], "id int, text string")
     with pytest.raises(Exception, match="another way"):
         matching.ngram_matches(df, words).collect()
+
+
+def test_predictions_drop_what_is_no_id(spark, tmp_path):
+    """The number 0 and the empty text are no ids, the text "0" is one; the last of an id wins."""
+    from siftmark.sources import files
+
+    lines = ['"id": "0"', '"id": 0', '"id": ""', '"id": null', '"x": 1', '"id": 0.0', '"id": false', '"id": 12', '"id": "12"', '"id": "s5"', '"id": 0.5']
+    path = tmp_path / "p.jsonl"
+    path.write_text("\n".join(f'{{{x}, "pred_probs": [0.{k + 10}, 0.5], "uncertainty": 0.1}}' for k, x in enumerate(lines)))
+    got = {r["id"]: r["pred_probs"][0] for r in files.predictions(spark, str(path)).collect()}
+    assert got == {"0": 0.10, "12": 0.18, "s5": 0.19, "0.5": 0.20}
+    every = {r["id"] for r in files.predictions(spark, str(path), drop_falsy_id=False).collect()}
+    assert {"0", "", "12", "s5", "0.5"} <= every and None not in every
