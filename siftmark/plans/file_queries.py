@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftmark.functions import parsing as P
 from siftmark.functions.text import strip
-from siftmark.operators import knowledge, labeling, lexicon
+from siftmark.operators import knowledge, labeling, lexicon, seen
 from siftmark.plans import frames as I
 from siftmark.plans.frames import PRED
 from siftmark.plans.registry import query
 from siftmark.sources import files
 from siftmark.sources.scratch import scratch_path
-from siftmark.streaming import incremental
+from siftmark.streaming import incremental, labelling
 
 _HASHED = "SELECT doc_id, md5(text) AS hash, lang, source FROM documents"
 
@@ -191,6 +193,64 @@ def refused_and_unread(spark, d):
     return out.select("doc_id", F.coalesce(F.col("coarse_response").startswith("[BLOCKED"), F.lit(False)).alias("blocked"), F.col("coarse_label").cast("int").alias("label"))
 
 
+class Tired(labeling.RuleBackend):
+    """Gives up for good after so many calls of a task."""
+
+    def __init__(self, lexicon, calls: int):
+        super().__init__(lexicon)
+        self.left = calls
+
+    def answer(self, texts: list[str]) -> list[str]:
+        self.left -= 1
+        if self.left < 0:
+            raise labeling.Exhausted("the budget is spent")
+        return super().answer(texts)
+
+
+_LABELS = f"SELECT doc_id, CAST({_HITS} AS INTEGER) AS label FROM documents WHERE length(text) > 0"
+_WHOLE = labeling.LabelTask("coarse", P.binary_label, batch_chars=None)
+
+
+@query(f"SELECT doc_id, label, 1 AS n FROM ({_LABELS})")
+def label_resume(spark, d):
+    """A first run's backend gives up after seven calls of a task; a second run asks for what is missing. No document is there twice."""
+    target = scratch_path(spark, "labelled")
+    for backend in (Tired(I.LEXICON, 7), labeling.RuleBackend(I.LEXICON)):
+        labelling.label_stream(labelling.table_stream(spark, f"{d}/documents.parquet", "doc_id long, text string", 4), target, backend, _WHOLE, "doc_id")
+    return spark.read.parquet(target).groupBy("doc_id", F.col("coarse_label").cast("int").alias("label")).agg(F.count("*").alias("n"))
+
+
+class Skipping(labeling.RuleBackend):
+    """Leaves out an answer where a batch has a text with "idiot"."""
+
+    def answer(self, texts: list[str]) -> list[str]:
+        out = super().answer(texts)
+        return out[1:] if len(texts) > 1 and any("idiot" in t.lower() for t in texts) else out
+
+
+@query(_LABELS)
+def label_fan_out(spark, d):
+    """Five calls of a task in flight; batches that come back short are asked again text by text."""
+    task = replace(_WHOLE, batch_size=7, calls_at_once=5, call_limit_s=600.0)
+    out = labeling.run_task(I.documents(spark, d).select("doc_id", "text"), Skipping(I.LEXICON), task, key="doc_id")
+    return out.select("doc_id", F.col("coarse_label").cast("int").alias("label"))
+
+
+@query(_LABELS)
+def label_rate_limit(spark, d):
+    """All tasks share the calls of a minute."""
+    task = replace(_WHOLE, calls_per_minute=600_000)
+    out = labeling.run_task(I.documents(spark, d).select("doc_id", "text"), labeling.RuleBackend(I.LEXICON), task, key="doc_id")
+    return out.select("doc_id", F.col("coarse_label").cast("int").alias("label"))
+
+
+@query("SELECT doc_id FROM documents WHERE length(text) > 0 AND doc_id NOT IN (SELECT doc_id FROM labels)")
+def skip_existing_sketch(spark, d):
+    """As for labels too many to broadcast: their keys are sketched, and only doubtful ones compared."""
+    rows = I.documents(spark, d).filter("length(text) > 0").select("doc_id", "text")
+    return seen.without_known(rows, I.table(spark, d, "labels"), "doc_id", few=0).select("doc_id")
+
+
 @query(
     """SELECT count(*) AS total, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS skipped,
     count(*) FILTER (length(text) > 0 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS success, 0 AS failed FROM documents"""

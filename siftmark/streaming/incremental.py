@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftmark.functions.text import strip
-from siftmark.sources.files import exists
+from siftmark.operators.seen import SeenKeys
 
 
 def text_stream(spark: SparkSession, folder: str, archive: str | None = None) -> DataFrame:
@@ -22,15 +22,14 @@ def text_stream(spark: SparkSession, folder: str, archive: str | None = None) ->
 def ingest_new(stream: DataFrame, target: str, checkpoint: str, key: str, change: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
     """Appends all rows that are there now and whose key the target lacks, then ends.
 
-    The checkpoint remembers what was read; the anti-join with the target keeps a batch that is
-    run again, or a key that comes again, from being written twice. State doesn't grow with time.
+    The checkpoint remembers what was read. A sketch of the target's keys beside it (see :class:`SeenKeys`) lets new rows by;
+    the target itself is read only for keys that may be in it, as when a batch is run again or a key comes again.
     """
+    seen = SeenKeys(stream.sparkSession, target, key)
 
     def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        rows = change(batch.dropDuplicates([key]))
-        if exists(spark, target):
-            rows = rows.join(spark.read.parquet(target).select(F.col(key).alias("__done")), F.col(key) == F.col("__done"), "left_anti")
+        rows = seen.new(change(batch.dropDuplicates([key])))
+        seen.remember(rows)
         rows.write.mode("append").parquet(target)
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
