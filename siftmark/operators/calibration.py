@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftmark.functions.scores import bucket, edges
+from siftmark.operators.selection import quantiles
 
 
 def _bounds(n: int):
@@ -13,11 +14,16 @@ def _bounds(n: int):
     return e[F.col("bucket_id")], e[F.col("bucket_id") + 1]
 
 
-def uncertainty_buckets(rows: DataFrame, n: int = 10, y: str = "coarse_label", pred: str = "pred_label", u: str = "uncertainty", conf: str = "pred_prob") -> DataFrame:
-    """Equal-width buckets of labelled rows: bounds, mean and exact median of u, errors and mean confidence; empty ones are left out."""
-    x = rows.filter(F.col(y).isNotNull()).groupBy(bucket(F.col(u), n).alias("bucket_id"))
+def uncertainty_buckets(rows: DataFrame, n: int = 10, y: str = "coarse_label", pred: str = "pred_label", u: str = "uncertainty", conf: str = "pred_prob", median: bool = True) -> DataFrame:
+    """Equal-width buckets of labelled rows: bounds, mean and exact median of u (without ``median`` null), errors and mean confidence; empty ones are left out."""
+    rows = rows.filter(F.col(y).isNotNull()).withColumn("bucket_id", bucket(F.col(u), n))
     err = F.count_if(F.col(pred) != F.col(y))
-    x = x.agg(F.avg(u).alias("u_mean"), F.median(u).alias("u_median"), F.count("*").alias("n_samples"), err.alias("n_errors"), F.avg(conf).alias("avg_confidence"))
+    x = rows.groupBy("bucket_id").agg(F.avg(u).alias("u_mean"), F.count("*").alias("n_samples"), err.alias("n_errors"), F.avg(conf).alias("avg_confidence"))
+    if median:
+        middle = quantiles(rows, u, ["bucket_id"]).select(F.col("bucket_id").alias("__b"), F.col("quantile").alias("u_median"))
+        x = x.join(F.broadcast(middle), F.col("bucket_id") == F.col("__b"), "left")  # a row for each bucket
+    else:
+        x = x.withColumn("u_median", F.lit(None).cast("double"))
     lo, hi = _bounds(n)
     return x.select("bucket_id", lo.alias("u_min"), hi.alias("u_max"), "u_mean", "u_median", "n_samples", "n_errors", (F.col("n_errors") / F.col("n_samples")).alias("error_rate"), "avg_confidence", F.col("u_mean").alias("avg_uncertainty"))
 

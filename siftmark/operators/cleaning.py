@@ -41,20 +41,40 @@ def max_id(rows: DataFrame, col: str = "id") -> DataFrame:
     return rows.agg(F.coalesce(F.max(n), F.lit(-1).cast("long")).alias("max_id"))
 
 
-def assign_ids(rows: DataFrame, order: str, start: int = 0, name: str = "id") -> DataFrame:
-    """``rows`` with ids "s<start>", "s<start+1>" ... in order of a column.
+#: Ranges that rows are numbered by; values that their bounds are taken from.
+RANGES, BOUNDS_FROM = 128, 20_000
+
+
+def numbered(rows: DataFrame, order: list[str], name: str, ranges: int = RANGES) -> DataFrame:
+    """``rows`` with their place in the order of columns, from 0 without gaps.
 
-    Rows are dealt out by ranges and numbered inside each; only the ranges' counts come to one
-    place. The dealt rows are kept (persisted), as the ranges must not be drawn twice.
+    Bounds of ranges are fixed first, as literals, from values whose hash is lowest; then rows are counted by range and
+    numbered inside each, with what lies before it added. Nothing is kept between the steps but literals, so a lost executor
+    or a step computed anew changes nothing, as long as ``rows`` gives the same rows and no two are equal in ``order``.
     """
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, order).withColumn("__part", F.spark_partition_id()).persist()
-    sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select(F.col("__part").alias("__p"), before.alias("__before"))
-    place = F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1
-    out = dealt.withColumn("__k", place).join(F.broadcast(offsets), F.col("__part") == F.col("__p"))
-    return out.withColumn(name, F.concat(F.lit("s"), (F.col("__before") + F.col("__k") + start).cast("string"))).drop("__part", "__p", "__before", "__k")
+    key = F.struct(*[F.col(c) for c in order])
+    n = rows.count()
+    step = max(1, n // BOUNDS_FROM)
+    some = sorted(tuple(r) for r in rows.select(*order).filter(F.pmod(F.xxhash64(*order), F.lit(step)) == 0).filter(" AND ".join(f"`{c}` IS NOT NULL" for c in order)).collect())
+    cuts = [some[len(some) * k // ranges] for k in range(1, ranges)] if n > ranges * 100 else []
+    kinds = [rows.schema[c].dataType for c in order]
+    bounds = [F.struct(*[F.lit(v).cast(t).alias(c) for c, v, t in zip(order, cut, kinds, strict=True)]) for cut in dict.fromkeys(cuts)]
+    part = F.size(F.filter(F.array(*bounds), lambda b: b <= key)) if bounds else F.lit(0)
+    dealt = rows.withColumn("__part", part)
+    before, total = [], 0
+    for r in sorted(dealt.groupBy("__part").count().collect()):  # a row for each range
+        before.append((r[0], total))
+        total += r[1]
+    offsets = F.broadcast(rows.sparkSession.createDataFrame(before, "__p int, __before long"))
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    out = dealt.withColumn("__k", place).join(offsets, F.col("__part") == F.col("__p"))
+    return out.withColumn(name, F.col("__before") + F.col("__k")).drop("__part", "__p", "__before", "__k")
+
+
+def assign_ids(rows: DataFrame, order: str, start: int = 0, name: str = "id") -> DataFrame:
+    """``rows`` with ids "s<start>", "s<start+1>" ... in order of a column of distinct values; see :func:`numbered`."""
+    out = numbered(rows, [order], "__place")
+    return out.withColumn(name, F.concat(F.lit("s"), (F.col("__place") + start).cast("string"))).drop("__place")
 
 
 def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from siftmark.config import CATEGORIES
 from siftmark.functions import scores as S
 from siftmark.functions.text import word_count
+from siftmark.operators.selection import quantiles
+from siftmark.sources.scratch import stored
 
 #: The features in order.
 FEATURES = (
@@ -57,19 +59,21 @@ def confidence_stats(rows: DataFrame, p: str = "p", confidence: str = "confidenc
 
 
 def distribution(rows: DataFrame, columns: dict[str, tuple[float, ...]]) -> DataFrame:
-    """name, mean, median, std, min, max and the shares above thresholds (the last one: below) for several columns, in one pass.
+    """name, mean, median, std, min, max and the shares above thresholds (the last one: below) for several columns.
 
-    The medians are exact: each takes memory for the distinct values of its column.
+    Columns become rows of (name, value), written once; the medians are exact and of any number of values.
     """
-
-    def row(c: str, hi: float, mid: float, lo: float) -> Column:
-        x = F.col(c)
-        return F.struct(
-            F.lit(c).alias("name"), F.avg(x).alias("mean"), F.median(x).alias("median"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
-            F.avg((x > hi).cast("double")).alias("share_high"), F.avg((x > mid).cast("double")).alias("share_mid"), F.avg((x < lo).cast("double")).alias("share_low"),
-        )
-
-    return rows.agg(F.array(*[row(c, *t) for c, t in columns.items()]).alias("rows")).select(F.explode("rows").alias("r")).select("r.*")
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in columns])).alias("p")
+    x = stored(rows.select(pairs).select("p.*"), "columns")
+    limits = [F.create_map(*[z for c, t in columns.items() for z in (F.lit(c), F.lit(float(t[k])))])[F.col("name")] for k in range(3)]
+    v, (hi, mid, lo) = F.col("x"), limits
+    out = x.groupBy("name").agg(
+        F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
+        F.avg((v > hi).cast("double")).alias("share_high"), F.avg((v > mid).cast("double")).alias("share_mid"), F.avg((v < lo).cast("double")).alias("share_low"),
+    )
+    middle = quantiles(x, "x", ["name"]).select(F.col("name").alias("__n"), F.col("quantile").alias("median"))
+    out = out.join(F.broadcast(middle), F.col("name") == F.col("__n"), "left")  # a row for each column
+    return out.select("name", "mean", "median", "std", "min", "max", "share_high", "share_mid", "share_low")
 
 
 def slice_means(rows: DataFrame, u: str, columns: list[str]) -> DataFrame:

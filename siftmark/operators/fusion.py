@@ -5,12 +5,12 @@ Joined rows have p0, p1 (model), q0, q1 (knowledge), uncertainty and coarse_labe
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftmark.functions import scores as S
 from siftmark.functions.scores import bucket
-from siftmark.operators import metrics
+from siftmark.operators import metrics, monotone
 
 #: Slices of uncertainty.
 SLICES = (("u_<_0.1", 0.1), ("u_0.1_0.3", 0.3), ("u_≥_0.3", None))
@@ -90,34 +90,27 @@ def alpha_pivot(searched: DataFrame, by: list[str], grid: tuple[float, ...]) ->
 
 
 def fit_monotone(points: DataFrame, u: str = "u", alpha: str = "alpha", decreasing: bool = True) -> DataFrame:
-    """Least-squares monotone fit of a small table of points (one per bucket): u, alpha, fitted.
-
-    The exact fit is max over starts of the min over ends of means (mirrored if decreasing), which
-    joins the points with themselves; points number as buckets do, not as rows do.
-    """
-    sign = -1.0 if decreasing else 1.0
-    p = points.select(F.col(u).alias("u"), F.col(alpha).alias("alpha")).withColumn("k", F.row_number().over(Window.orderBy("u", "alpha")))
-    whole = p.agg(F.sort_array(F.collect_list(F.struct("k", "alpha"))).alias("all"))
-    x = p.crossJoin(F.broadcast(whole))
-    n = F.size("all")
-
-    def mean(j: Column, e: Column) -> Column:
-        part = F.slice(F.col("all"), j, e - j + 1)
-        return F.aggregate(part, F.lit(0.0), lambda a, v: a + v["alpha"] * sign) / (e - j + 1)
-
-    least = F.transform(F.sequence(F.lit(1), F.col("k")), lambda j: F.array_min(F.transform(F.sequence(F.col("k"), n), lambda e: mean(j, e))))
-    return x.select("u", "alpha", (F.array_max(least) * sign).alias("fitted"))
+    """Least-squares monotone fit of any number of points: u, alpha, fitted."""
+    return monotone.fit(points, u, alpha, decreasing)
 
 
 def lut(fitted: DataFrame, points: int = 100) -> DataFrame:
-    """``points`` evenly spaced u between the smallest and largest, with alpha interpolated and clipped: pos, u, alpha."""
-    rows = [(r["u"], r["fitted"]) for r in fitted.groupBy("u").agg(F.avg("fitted").alias("fitted")).orderBy("u").collect()]  # one per bucket
-    if not rows:
-        return fitted.sparkSession.createDataFrame([], "pos int, u double, alpha double")
-    lo, hi = rows[0][0], rows[-1][0]
+    """``points`` evenly spaced u between the smallest and largest, with alpha interpolated and clipped: pos, u, alpha.
+
+    Points of an equal u count as their mean. Between two places of the table only the first and the last point matter, so
+    that many come to the driver, however many were fitted.
+    """
+    x = fitted.groupBy("u").agg(F.avg("fitted").alias("fitted"))
+    spark = fitted.sparkSession
+    lo, hi = fitted.agg(F.min("u"), F.max("u")).first()
+    if lo is None:
+        return spark.createDataFrame([], "pos int, u double, alpha double")
     step = (hi - lo) / (points - 1) if points > 1 else 0.0
-    u = F.when(F.col("id") == points - 1, hi).otherwise(F.lit(lo) + F.col("id") * step)
-    x = fitted.sparkSession.range(points).select(F.col("id").cast("int").alias("pos"), u.alias("u"))
+    places = [hi if k == points - 1 else lo + k * step for k in range(points)]
+    cell = F.size(F.filter(F.array(*map(F.lit, places)), lambda p: p <= F.col("u")))
+    ends = x.groupBy(cell.alias("cell")).agg(F.min_by(F.struct("u", "fitted"), "u").alias("a"), F.max_by(F.struct("u", "fitted"), "u").alias("b"))
+    rows = sorted({(r[k]["u"], r[k]["fitted"]) for r in ends.collect() for k in ("a", "b")})
+    x = spark.createDataFrame(list(enumerate(places)), "pos int, u double")
     return x.withColumn("alpha", F.greatest(F.lit(0.0), F.least(F.lit(1.0), S.lut_alpha(F.col("u"), rows))))
 
 

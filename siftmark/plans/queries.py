@@ -398,7 +398,7 @@ def auto_buckets(spark, d):
 
 @query(f"WITH {_BUCKETS} SELECT round(corr(u_mean, error_rate), 6) AS correlation FROM buckets")
 def bucket_error_corr(spark, d):
-    return calibration.error_correlation(calibration.uncertainty_buckets(I.predictions(spark, d))).select(*r6("correlation"))
+    return calibration.error_correlation(calibration.uncertainty_buckets(I.predictions(spark, d), median=False)).select(*r6("correlation"))
 
 
 @query(f"WITH {PRED} SELECT {_metrics_sql('coarse_label', 'pred_label')} FROM pred")
@@ -558,7 +558,7 @@ _FIT = f"""{_POINTS}, runs AS (SELECT a.k AS j, b.k AS e, avg(c.alpha) AS m FROM
 
 
 def _points(spark, d):
-    return calibration.uncertainty_buckets(I.predictions(spark, d)).select(F.col("u_mean").alias("u"), (1 - F.col("error_rate")).alias("alpha"))
+    return calibration.uncertainty_buckets(I.predictions(spark, d), median=False).select(F.col("u_mean").alias("u"), (1 - F.col("error_rate")).alias("alpha"))
 
 
 @query(f"WITH {_FIT} SELECT {r6_sql('u', 'alpha', 'fitted')} FROM pts JOIN fit USING (k)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -23,3 +23,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     at = sc._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(at)
     return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a scratch path and read back: what comes before is computed once, and a lost executor costs none of it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
