@@ -1,10 +1,10 @@
 """Lexicon and regex matching.
 
 A lexicon is a small dict of category -> words, held on the driver; words are matched as
-substrings, without regard to case. Three ways give the same counts: built-in expressions
-(one pass of the text per word, for small lexicons), an automaton in Arrow batches (one
-pass for any number of words) and an n-gram equi-join (for short texts and words that
-arrive as a table).
+substrings, without regard to case. Two ways give the same counts: built-in expressions
+(one pass of the text per word, for small lexicons) and an automaton in Arrow batches (one
+pass for all words that fit into a task). Words that are a table of any size are matched by
+:mod:`.anchors`.
 """
 
 from __future__ import annotations
@@ -23,13 +23,15 @@ from siftmark.config import CATEGORIES
 Lexicon = dict[str, tuple[str, ...]]
 #: Up to so many words are counted with built-in expressions.
 FEW_WORDS = 200
-#: Most characters of a text whose n-grams are joined.
-GRAM_CHARS = 50_000
+#: Up to so many words are a lexicon; more are a table.
+MOST_WORDS = 200_000
 
 
 def lexicon_of(rows: DataFrame) -> Lexicon:
-    """A lexicon from a (category, word) table: lower case, without blanks and repeats; a category may be empty."""
-    words = rows.select("category", F.lower(F.trim("word")).alias("word")).filter("word <> ''").distinct().collect()
+    """A lexicon from a (category, word) table of up to MOST_WORDS words: lower case, without blanks and repeats; a category may be empty."""
+    words = rows.select("category", F.lower(F.trim("word")).alias("word")).filter("word <> ''").distinct().limit(MOST_WORDS + 1).collect()
+    if len(words) > MOST_WORDS:
+        raise ValueError(f"over {MOST_WORDS} words: match them as a table, by anchors.word_matches")
     return {c: tuple(sorted(r["word"] for r in words if r["category"] == c)) for c in CATEGORIES}
 
 
@@ -106,22 +108,6 @@ def automaton_counts(docs: DataFrame, lexicon: Lexicon, text: str = "text", mode
     return docs.mapInArrow(run, schema)
 
 
-def ngram_matches(docs: DataFrame, words: DataFrame, id_col: str = "id", text: str = "text") -> DataFrame:
-    """(id, category, word, n) by an equi-join of the texts' n-grams with a (category, word) table.
-
-    A text makes a row for each of its places and each length of word, so texts over GRAM_CHARS characters are an error;
-    the other two ways take any.
-    """
-    words = words.select("category", F.lower("word").alias("word")).filter("word <> ''").distinct().withColumn("size", F.length("word"))
-    sizes = sorted(r["size"] for r in words.select("size").distinct().collect())  # a few numbers
-    low = F.lower(text)
-    long = F.raise_error(F.lit(f"texts over {GRAM_CHARS} characters need another way of matching"))
-    docs = docs.select(id_col, F.when(F.length(low) > GRAM_CHARS, long.cast("string")).otherwise(low).alias("low"))
-    grams = docs.select(id_col, "low", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")).alias("size")).filter(F.length("low") >= F.col("size"))
-    grams = grams.select(id_col, "size", F.explode(F.transform(F.sequence(F.lit(1), F.length("low") - F.col("size") + 1), lambda i: F.substring(F.col("low"), i, F.col("size")))).alias("word"))
-    return grams.join(words.drop("size"), "word").groupBy(id_col, "category", "word").agg(F.count("*").alias("n"))
-
-
 def valid_rules(rules: list[tuple[str, str]]) -> list[tuple[str, str]]:
     """Rules (pattern, description) whose pattern compiles where it will run: in the JVM."""
     out = []

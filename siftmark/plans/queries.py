@@ -8,7 +8,7 @@ from siftmark.config import CATEGORIES, CleanConfig
 from siftmark.functions import parsing as P
 from siftmark.functions import scores as S
 from siftmark.functions import text as T
-from siftmark.operators import calibration, cleaning, credibility, fusion, hardset, knowledge, labeling, lexicon, matching, metrics, sampling
+from siftmark.operators import anchors, calibration, cleaning, credibility, fusion, hardset, knowledge, labeling, lexicon, matching, metrics, sampling
 from siftmark.plans import file_queries  # noqa: F401  registers its queries
 from siftmark.plans import frames as I
 from siftmark.plans.frames import ALPHAS, COUNTED, JOINED, PRED, SCORED, THRESHOLDS, bucket_sql, fuse_sql
@@ -302,6 +302,25 @@ def lexicon_match_automaton(spark, d):
     return matching.automaton_counts(I.documents(spark, d).filter("length(text) > 0").select("doc_id", "text"), I.LEXICON).select("doc_id", *[f"n_{c}" for c in CATEGORIES])
 
 
+#: Words of the benchmark that don't overlap themselves, so that SQL can count them by deleting them.
+_TABLE_WORDS = """SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS word FROM benchmark)
+  WHERE len(list_filter(range(1, length(word)), lambda k: left(word, k) = right(word, k))) = 0"""
+
+
+@query(
+    f"""WITH w AS ({_TABLE_WORDS}), x AS (SELECT doc_id, word, (length(low) - length(replace(low, word, ''))) // length(word) AS n
+    FROM (SELECT doc_id, lower(text) AS low FROM documents) JOIN w ON contains(low, word))
+    SELECT word, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n, min(doc_id) AS first_doc FROM x GROUP BY word"""
+)
+def lexicon_match_table(spark, d):
+    """Words that are a table, in texts of any length, by their rarest grams."""
+    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("word")
+    words = I.table(spark, d, "benchmark").select(word).distinct()
+    plain = F.size(F.filter(F.sequence(F.lit(1), F.length("word") - 1), lambda k: F.left("word", k) == F.right("word", k))) == 0
+    found = anchors.word_matches(I.documents(spark, d), words.filter(plain).select(F.lit("abuse").alias("category"), "word"), "doc_id")
+    return found.groupBy("word").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n"), F.min("doc_id").alias("first_doc"))
+
+
 @query(
     r"""SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(text, '(?i)lo[sz]er') THEN 'loser' END, CASE WHEN regexp_matches(text, '(?i)\bclown') THEN 'clown' END,
     CASE WHEN regexp_matches(text, '(?i)TRASH$') THEN 'trash at the end' END], lambda x: x IS NOT NULL), ',') AS rules FROM documents"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftmark.config import SplitConfig
 from siftmark.functions import parsing as P
-from siftmark.operators import calibration, cleaning, credibility, fusion, hardset, knowledge, labeling, lexicon, matching, metrics, sampling
+from siftmark.operators import anchors, calibration, cleaning, credibility, fusion, hardset, knowledge, labeling, lexicon, matching, metrics, sampling
 from siftmark.sources import files
 from siftmark.streaming import incremental
 
@@ -47,7 +47,7 @@ def test_matching_ways_agree(spark):
             want = [brute(t, LEX[c]) for c in ("porn", "politics", "abuse")]
             assert built_in[i] == want and automaton[i] == want
     words = spark.createDataFrame([(c, w) for c, ws in LEX.items() for w in ws], "category string, word string")
-    grams = {(r["id"], r["word"]): r["n"] for r in matching.ngram_matches(df, words).collect()}
+    grams = {(r["id"], r["word"]): r["n"] for r in anchors.word_matches(df, words).collect()}
     assert grams[(0, "aa")] == 3 and grams[(1, "aba")] == 2 and (3, "aa") not in grams
     distinct = matching.with_counts(df, LEX, mode="distinct").filter("id = 0").first()
     assert distinct["n_porn"] == 1
@@ -287,13 +287,6 @@ def test_calls_are_limited_over_all_tasks(spark):
     assert out.rdd.getNumPartitions() <= labeling.LIMITED and out.count() == 6 and time.monotonic() - t >= 1.0
 
 
-def test_long_texts_need_another_way(spark):
-    words = spark.createDataFrame([("porn", "aa")], "category string, word string")
-    df = spark.createDataFrame([(1, "a" * (matching.GRAM_CHARS + 1))], "id int, text string")
-    with pytest.raises(Exception, match="another way"):
-        matching.ngram_matches(df, words).collect()
-
-
 def test_predictions_drop_what_is_no_id(spark, tmp_path):
     """The number 0 and the empty text are no ids, the text "0" is one; the last of an id wins."""
     from siftmark.sources import files
