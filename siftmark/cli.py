@@ -13,6 +13,7 @@ from siftmark.functions import scores as S
 from siftmark.functions.text import word_count
 from siftmark.operators import calibration, cleaning, credibility, fusion, hardset, knowledge, labeling, lexicon, matching, metrics, sampling
 from siftmark.sources import files
+from siftmark.sources.scratch import stored
 
 TEXTS = "id string, text string, coarse_label int, subtype_label array<string>, coarse_response string, subtype_response string, split string"
 
@@ -49,7 +50,7 @@ def clean(spark, a):
     if a.skip_existing and files.exists(spark, a.output):
         return
     config = load(CleanConfig, a.config, "data_cleaning", min_length=a.min_length, max_length=a.max_length)
-    rows = cleaning.clean_rows(_texts(spark, a.input).select("id", "text").withColumn("__pos", F.monotonically_increasing_id()), config)
+    rows = cleaning.clean_rows(_texts(spark, a.input).select("id", "text", files.position().alias("__pos")), config)
     files.write_json_lines(cleaning.dedup_keep_first(rows, ["__pos"]).drop("__pos"), a.output)
 
 
@@ -178,9 +179,13 @@ def credible(spark, a):
 
 
 def clean_lexicon(spark, a):
-    words = files.lexicon_lines(spark, {c: f"{a.lexicon_dir}/{c}.txt" for c in CATEGORIES})
-    files.write_report(lexicon.stats(words), f"{a.output}.stats")
-    lexicon.dedup(words).select("category", "word").coalesce(1).write.mode("overwrite").partitionBy("category").text(a.output)
+    """Lexicon files without repeats, by length and then by word; in place with a backup copy, unless an output folder is given. Statistics go beside them."""
+    to = a.output or a.lexicon_dir
+    words = stored(files.lexicon_lines(spark, {c: f"{a.lexicon_dir}/{c}.txt" for c in CATEGORIES}, distinct=False), "lexicon")
+    files.write_report(lexicon.stats(words), f"{to.rstrip('/')}.stats")
+    for c in CATEGORIES:
+        if files.exists(spark, f"{a.lexicon_dir}/{c}.txt"):
+            files.write_words(lexicon.dedup(words.filter(F.col("category") == c)), f"{to}/{c}.txt", backup=not a.no_backup)
 
 
 #: command -> (function, options as (name, settings)); options without a default are required.
@@ -208,7 +213,7 @@ COMMANDS = {
     "features": (features, (*PAIR, ("lexicon-dir", {}))),
     "credibility": (credible, (*PAIR, ("mapping", {"default": "tanh", "choices": ["raw", "tanh", "piecewise"]}),
                                ("build-method", {"default": "improved_weighted", "choices": ["original", "improved_weighted", "offset", "q0_based"]}), ("q0", {"default": ""}))),
-    "clean-lexicon": (clean_lexicon, (("lexicon-dir", {}), ("output", {}))),
+    "clean-lexicon": (clean_lexicon, (("lexicon-dir", {}), ("output", {"default": ""}), ("no-backup", {"action": "store_true"}))),
 }
 
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import replace
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftmark.functions.parsing import answer_lines
 from siftmark.functions.text import strip
-from siftmark.operators.labeling import LabelBackend, LabelTask, run_task
+from siftmark.operators.cleaning import numbered
+from siftmark.operators.labeling import LabelBackend, LabelTask, asked, run_task
 
 
 def stats(lines: DataFrame) -> DataFrame:
@@ -30,7 +35,7 @@ def merge(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def added(old: DataFrame, new: DataFrame) -> DataFrame:
     """Words of ``new`` that ``old`` lacks."""
-    return new.select("category", "word").exceptAll(old.select("category", "word")).distinct().join(old.select("category", "word"), ["category", "word"], "left_anti")
+    return new.select("category", "word").distinct().join(old.select("category", "word"), ["category", "word"], "left_anti")
 
 
 def words_of_answers(answers: DataFrame, response: str = "response") -> DataFrame:
@@ -43,6 +48,59 @@ def keep_returned(batch: DataFrame, answers: DataFrame, response: str = "respons
     return batch.join(words_of_answers(answers, response).distinct(), ["category", "word"], "left_semi")
 
 
+class _Cleaner:
+    """A backend whose empty answers are failures, to be asked again."""
+
+    def __init__(self, backend: LabelBackend):
+        self.backend = backend
+
+    def answer(self, texts: list[str]) -> list[str]:
+        out = self.backend.answer(texts)
+        if not all(o and o.strip() for o in out):
+            raise ValueError("an empty answer")
+        return out
+
+
+def word_batches(words: DataFrame, size: int) -> DataFrame:
+    """(category, words, text): up to ``size`` distinct words of one category, and their lines; words stay in their tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        category, held = None, []
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([category]), pa.array([held], pa.list_(pa.string())), pa.array(["\n".join(held)])], ["category", "words", "text"])
+
+        for batch in batches:
+            for c, w in zip(batch.column("category").to_pylist(), batch.column("word").to_pylist(), strict=True):
+                if held and (c != category or len(held) == size):
+                    yield out()
+                    held = []
+                category = c
+                held.append(w)
+        if held:
+            yield out()
+
+    words = words.select("category", strip(F.col("word")).alias("word")).filter("category IS NOT NULL AND word <> ''").distinct()
+    return words.sortWithinPartitions("category", F.length("word"), F.lower("word"), "word").mapInArrow(run, "category string, words array<string>, text string")
+
+
+def clean_words(words: DataFrame, backend: LabelBackend, size: int = 50, task: LabelTask = LabelTask("cleaning", lambda c: c, 1, batch_chars=None)) -> DataFrame:
+    """(category, word) of the words that a backend returns, a word per line, when it is given them by batches of a category.
+
+    What it returns beside the words of its batch isn't taken. A batch without an answer, after the task's calls, keeps none.
+    The task's limits (calls in flight, time, rate, repeats) hold as for labelling.
+    """
+    answers = asked(word_batches(words, size), _Cleaner(backend), replace(task, batch_size=1)).filter(F.col("__status") == "answered")
+    kept = F.array_intersect("words", answer_lines(F.col("__answer")))
+    return answers.select("category", F.explode(kept).alias("word"))
+
+
+def ordered(words: DataFrame) -> DataFrame:
+    """Distinct words with their ``place``, from 0, in order of category, length, the word without case, and the word."""
+    x = words.select("category", strip(F.col("word")).alias("word")).filter("word <> ''").distinct()
+    return numbered(x.withColumns({"__size": F.length("word"), "__low": F.lower("word")}), ["category", "__size", "__low", "word"], "place").drop("__size", "__low")
+
+
 def generate(samples: DataFrame, backend: LabelBackend, old: DataFrame | None = None, batch_size: int = 10, max_retries: int = 3) -> DataFrame:
     """New (category, word) rows that a backend names for sample texts of a category (id, text, category), less those of ``old``."""
     answers = run_task(samples.select("id", "text", "category"), backend, LabelTask("words", lambda c: c, batch_size, max_retries, batch_chars=None))

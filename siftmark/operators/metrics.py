@@ -72,5 +72,5 @@ def auc(rows: DataFrame, y: str, score: str) -> DataFrame:
     ranges = ranges.select(F.col("r").alias("r2"), below.alias("below"))
     inside = F.coalesce(F.sum("neg").over(Window.partitionBy("r").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     won = F.col("pos") * (F.col("below") + F.col("inside") + F.col("neg") / 2)
-    x = by.withColumn("inside", inside).join(F.broadcast(ranges), F.col("r") == F.col("r2"))
+    x = by.withColumn("inside", inside).join(ranges, F.col("r") == F.col("r2"))
     return x.agg(ratio(F.sum(won), (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))

@@ -31,7 +31,7 @@ def stratified_split(rows: DataFrame, key: str, by: str | None = None, config: S
     # 256 ranges a stratum
     offsets = sizes.select(F.col("__s").alias("__s2"), F.col("__r").alias("__r2"), before.alias("__before"), F.sum("n").over(w).alias("__n"))
     k = F.row_number().over(Window.partitionBy("__s", "__r").orderBy("__t", key))
-    x = x.withColumn("__k", k).join(F.broadcast(offsets), F.col("__s").eqNullSafe(F.col("__s2")) & (F.col("__r") == F.col("__r2")))
+    x = x.withColumn("__k", k).join(offsets, F.col("__s").eqNullSafe(F.col("__s2")) & (F.col("__r") == F.col("__r2")))
     place, n = F.col("__before") + F.col("__k"), F.col("__n")
     train, dev = F.round(n * config.train), F.round(n * (config.train + config.dev))
     split = F.when(place <= train, "train").when(place <= dev, "dev").otherwise("test")

@@ -56,7 +56,14 @@ def test_from_files_to_evaluation(spark, tmp_path):
     run("features", input=at["coarse"], output=at["feat"], lexicon_dir=lex)
     run("credibility", input=at["feat"], output=at["cred"], build_method="q0_based", q0=at["q0"])
     assert spark.read.json(at["cred"]).count() == 40
-    run("clean-lexicon", lexicon_dir=lex, output=at["lexout"])
+    (lex / "porn.txt").write_text("bb\na\n\nbb \nA\na\n")
+    run("clean-lexicon", lexicon_dir=lex)
+    assert (lex / "porn.txt").read_text().split("\n")[:-1] == ["A", "a", "bb"] and (lex / "porn.txt.backup").read_text().startswith("bb")
+    assert (lex / "abuse.txt").read_text() == "scum\nidiot\n"
+    stats = {r["category"]: (r["original"], r["unique"], r["duplicate"]) for r in spark.read.json(f"{lex}.stats").collect()}
+    assert stats == {"porn": (5, 3, 2), "abuse": (3, 2, 1), "total": (8, 5, 3)}
+    run("clean-lexicon", lexicon_dir=lex, output=at["lexout"], no_backup=True)
+    assert (tmp_path / "lexout" / "porn.txt").read_text() == "A\na\nbb\n"
 
 
 class Words:

@@ -298,3 +298,26 @@ def test_predictions_drop_what_is_no_id(spark, tmp_path):
     assert got == {"0": 0.10, "12": 0.18, "s5": 0.19, "0.5": 0.20}
     every = {r["id"] for r in files.predictions(spark, str(path), drop_falsy_id=False).collect()}
     assert {"0", "", "12", "s5", "0.5"} <= every and None not in every
+
+
+def test_classifier_is_the_minimum_of_its_loss(spark):
+    """The gradient of the mean log loss with its penalty is 0 at the fitted coefficients."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, len(credibility.FEATURES)))
+    y = (x[:, 0] - x[:, 3] + rng.normal(size=300) > 0).astype(float)
+    rows = spark.createDataFrame([(*map(float, a), float(b)) for a, b in zip(x, y, strict=True)], [*credibility.FEATURES, "label"])
+    model = credibility.train(rows)
+    first, second = model.stages[1], model.stages[3]
+
+    def gradient(m, z):
+        p = 1 / (1 + np.exp(-(z @ m.coefficients.toArray() + m.intercept)))
+        return np.r_[z.T @ (p - y) / len(y) + m.coefficients.toArray() / len(y), (p - y).mean()], p
+
+    g, p = gradient(first, x)
+    assert np.abs(g).max() < 1e-6
+    g, p = gradient(second, p[:, None])
+    assert np.abs(g).max() < 1e-6
+    got = np.array([r["probability"] for r in credibility.predict(model, rows).collect()])
+    assert got == pytest.approx(p)
