@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from siftmark.functions import parsing as P
 from siftmark.functions.text import strip
-from siftmark.operators import dataset, knowledge, labeling, lexicon, seen
+from siftmark.operators import credibility, dataset, hardset, knowledge, labeling, lexicon, seen
 from siftmark.plans import frames as I
 from siftmark.plans.frames import PRED
 from siftmark.plans.registry import query
 from siftmark.sources import files
-from siftmark.sources.scratch import scratch_path
+from siftmark.sources.scratch import scratch_path, stored
 from siftmark.streaming import incremental, labelling
 
 _HASHED = "SELECT doc_id, md5(text) AS hash, lang, source FROM documents"
@@ -255,6 +255,45 @@ def skip_existing_sketch(spark, d):
     return seen.without_known(rows, I.table(spark, d, "labels"), "doc_id", few=0).select("doc_id")
 
 
+class Shaky(labeling.RuleBackend):
+    """Fails at the first two calls for each batch."""
+
+    def __init__(self, lexicon):
+        super().__init__(lexicon)
+        self.failed = 0
+
+    def answer(self, texts: list[str]) -> list[str]:
+        self.failed = (self.failed + 1) % 3
+        if self.failed:
+            raise OSError("try again")
+        return super().answer(texts)
+
+
+@query(_LABELS)
+def label_retry(spark, d):
+    out = labeling.run_task(I.documents(spark, d).select("doc_id", "text"), Shaky(I.LEXICON), replace(_WHOLE, max_retries=3), key="doc_id")
+    return out.select("doc_id", F.col("coarse_label").cast("int").alias("label"))
+
+
+_TEACHER = "CASE WHEN contains(lower(text), 'idiot') THEN 1 WHEN " + _HITS + " THEN 1 END"
+
+
+@query(
+    f"""WITH {PRED}, x AS (SELECT id, doc_id, coarse_label, pred_label, {_TEACHER} AS teacher_label, list_filter([
+      CASE WHEN pred_label <> coarse_label AND coarse_label = 1 THEN 'baseline_wrong_teacher_correct' END, CASE WHEN pred_prob >= 0.55e0 AND pred_label <> coarse_label THEN 'high_conf_error' END,
+      CASE WHEN pred_label <> 1 THEN 'prediction_mismatch' END], lambda v: v IS NOT NULL) AS kinds FROM pred JOIN documents USING (doc_id) WHERE length(text) > 0)
+    SELECT id, pred_label, teacher_label, array_to_string(kinds, ',') AS kinds FROM x WHERE teacher_label IS NOT NULL AND len(kinds) > 0"""
+)
+def teacher_disagreements(spark, d):
+    """A teacher labels the predicted documents; those it refuses are positive, those it can't say anything about don't count."""
+    pred = I.predictions(spark, d)
+    rows = I.labelled_documents(spark, d).select(F.col("doc_id").cast("string").alias("id"), "text")
+    labels = labeling.run_task(rows, Wary(I.LEXICON), replace(_WHOLE, batch_size=5, max_retries=1))
+    teacher = labels.select("id", F.col("coarse_label").cast("int").alias("teacher_label"))
+    found = hardset.disagreements(pred, teacher, 0.55)
+    return found.select("id", "pred_label", "teacher_label", F.concat_ws(",", "disagreement_type").alias("kinds"))
+
+
 @query(
     """SELECT count(*) AS total, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS skipped,
     count(*) FILTER (length(text) > 0 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS success, 0 AS failed FROM documents"""
@@ -326,3 +365,39 @@ def tokenised_batches(spark, d):
     out = dataset.padded(dataset.tokenised(rows, dataset.CodePoints(), label="coarse_label").drop("text"), "doc_id")
     ids = F.transform(F.filter(F.arrays_zip("input_ids", "mask"), lambda x: x["mask"] == 1), lambda x: x["input_ids"].cast("string"))
     return out.select("doc_id", "coarse_label", "n_tokens", F.size("input_ids").alias("width"), F.md5(F.concat_ws(",", ids)).alias("ids"))
+
+
+@query(f"WITH {PRED} SELECT id, true AS same FROM pred")
+def model_file(spark, d):
+    """A trained classifier says the same once it is written and read again."""
+    from pyspark.ml import PipelineModel
+
+    rows = credibility.with_features(I.joined(spark, d).withColumn("subtype_label", F.array().cast("array<string>"))).withColumn("label", F.col("coarse_label").cast("double"))
+    rows = stored(rows.select("id", "label", *credibility.FEATURES), "features")
+    path = scratch_path(spark, "model")
+    model = credibility.train(rows)
+    model.write().overwrite().save(path)
+    both = [credibility.predict(m, rows).select(F.col("id").alias(f"id{k}"), F.col("probability").alias(f"p{k}"), F.col("confidence").alias(f"c{k}")) for k, m in enumerate((model, PipelineModel.load(path)))]
+    out = both[0].join(both[1], F.col("id0") == F.col("id1"), "left")
+    return out.select(F.col("id0").alias("id"), (F.col("p0").eqNullSafe(F.col("p1")) & F.col("c0").eqNullSafe(F.col("c1"))).alias("same"))
+
+
+@query(f"""SELECT 'now' AS file, word FROM {_ITEM_WORDS} WHERE length(word) > 3 GROUP BY word UNION ALL SELECT 'backup', word FROM {_ITEM_WORDS} GROUP BY word""")
+def lexicon_saved(spark, d):
+    """A lexicon file is written again with fewer words; what was there before is its backup."""
+    path = scratch_path(spark, "saved") + "/abuse.txt"
+    words = lexicon.dedup(_item_words(spark, d).withColumn("category", F.lit("abuse")))
+    files.write_words(words, path)
+    files.write_words(words.filter("length(word) > 3"), path)
+    got = [files.lexicon_lines(spark, {name: at}) for name, at in (("now", path), ("backup", f"{path}.backup"))]
+    return got[0].union(got[1]).select(F.col("category").alias("file"), "word")
+
+
+@query("SELECT doc_id, text IS NULL AS none FROM documents WHERE doc_id % 2 = 0")
+def skip_existing_output(spark, d):
+    """An output that is there is left as it is, and not made again."""
+    path = scratch_path(spark, "output")
+    for kept in (0, 1):
+        if not files.exists(spark, path):
+            files.write_json_lines(_docs(spark, d).filter(F.col("doc_id") % 2 == kept), path)
+    return files.json_lines(spark, path, _SCHEMA).select("doc_id", F.col("text").isNull().alias("none"))
