@@ -1,11 +1,12 @@
 """Token counts without materialising ids.
 
 Texts are taken apart into the tokenizer's pre-tokens, by its own pattern for all of Unicode;
-special strings, which are matched before, are split off and are one token each. Each
-distinct pre-token is given to the tokenizer once and only its number of pieces is kept; a
+special strings, which are matched before, are split off and are one token each. Distinct
+pre-tokens are given to the tokenizer and only their number of pieces is kept; a
 document's count is the sum over its pre-tokens of frequency times pieces. The join is local
 to a task: pieces of the distinct pre-tokens that it has met, held in a cache bounded in
-entries and bytes, are looked up by each document's frequencies. Shuffling (document,
+entries and bytes, are looked up by each document's frequencies; a pre-token that the cache
+has not kept, or has let go, is encoded again. Shuffling (document,
 pre-token, frequency) rows instead would move several times the input.
 """
 

@@ -2,8 +2,8 @@
 
 The ordinary dictionary is trained on the windows of ordinary texts, the toxic one on toxic
 texts, in which each word counts by its likelihood ratio, toxic to ordinary, as estimated
-from smoothed document frequencies: log2(ratio) - ``DOUBT`` times, rounded down. No word is
-left out for having been seen in ordinary texts, or for being rare. The toxic compressor
+from smoothed document frequencies: log2(ratio) - ``DOUBT`` times, rounded down. A word whose
+ratio is under 2 ** (``DOUBT`` + 1) is therefore left out of that dictionary. The toxic compressor
 has the ordinary content behind its own, so that common prose compresses alike under both and
 only what marks toxic texts makes a difference. A text is cut into windows of ``WINDOW`` bytes
 at word ends, and each is compressed with either dictionary. How many bytes the toxic one
