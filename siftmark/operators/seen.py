@@ -94,6 +94,12 @@ def without_known(rows: DataFrame, known: DataFrame, key: str, few: int = FEW_KE
     return settled(flagged(rows, key, sketch(keys, "__known", blocks), blocks), key, keys, few)
 
 
+def with_known(rows: DataFrame, known: DataFrame, key: str, few: int = FEW_KEYS) -> DataFrame:
+    """Rows whose key is among those of ``known``; up to ``few`` counted keys are broadcast, so that nothing else moves, beyond that both sides are shuffled."""
+    keys = known.select(F.col(key).alias("__known"))
+    return rows.join(F.broadcast(keys) if keys.count() <= few else keys, F.col(key) == F.col("__known"), "left_semi")
+
+
 class SeenKeys:
     """The keys of a table that grows by batches, as a sketch kept beside it, so that a batch of new rows doesn't scan the table.
 

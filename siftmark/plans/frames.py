@@ -13,6 +13,7 @@ from siftmark.functions import scores as S
 from siftmark.functions.text import word_count
 from siftmark.operators.knowledge import with_q0
 from siftmark.operators.matching import with_counts
+from siftmark.operators.seen import with_known
 from siftmark.sources.tables import table
 
 #: Words that occur in the tables.
@@ -65,8 +66,7 @@ def scored(spark: SparkSession, d: str, labelled: bool = False) -> DataFrame:
 
 
 def labelled_documents(spark: SparkSession, d: str) -> DataFrame:
-    ids = table(spark, d, "labels").select(F.col("doc_id").alias("__l"))
-    return documents(spark, d).join(ids, F.col("doc_id") == F.col("__l"), "left_semi")
+    return with_known(documents(spark, d), table(spark, d, "labels"), "doc_id")
 
 
 def q_sql(base=CONFIG.base_prob, most=CONFIG.max_prob, least="1", pol=CONFIG.politics_weight, abu=CONFIG.abuse_weight) -> str:

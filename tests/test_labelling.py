@@ -223,6 +223,13 @@ def test_rows_without_known_keys(spark, kind):
     assert sorted((r["id"] for r in seen.settled(x, "id", known.select(F.col("id").alias("__known")), few=10).collect()), key=str) == want
 
 
+def test_rows_with_known_keys(spark):
+    known = spark.createDataFrame([(1,), (1,), (7,), (None,)], "id long")
+    rows = spark.range(10).select("id", F.lit("text").alias("text")).unionByName(spark.createDataFrame([(None, "x"), (7, "y")], "id long, text string"))
+    for few in (100, 0):
+        assert sorted(tuple(r) for r in seen.with_known(rows, known, "id", few).collect()) == [(1, "text"), (7, "text"), (7, "y")]
+
+
 def test_a_sketch_holds_its_keys_and_few_others(spark):
     keys, others = spark.range(10_000).select("id"), spark.range(10_000, 60_000).select("id")
     blocks = seen.blocks_for(10_000)
