@@ -361,6 +361,7 @@ _WIDTHS = "[" + ", ".join(map(str, dataset.ladder())) + "]"
 def tokenised_batches(spark, d):
     """Labelled documents as padded rows; what the mask leaves is hashed."""
     labels = I.table(spark, d, "labels").select(F.col("doc_id").alias("__d"), F.col("toxic").cast("int").alias("coarse_label"))
+    labels = F.broadcast(labels) if labels.count() <= seen.FEW_KEYS else labels
     rows = I.documents(spark, d).filter("length(text) > 0").select("doc_id", "text").join(labels, F.col("doc_id") == F.col("__d")).drop("__d")
     out = dataset.padded(dataset.tokenised(rows, dataset.CodePoints(), label="coarse_label").drop("text"), "doc_id")
     ids = F.transform(F.filter(F.arrays_zip("input_ids", "mask"), lambda x: x["mask"] == 1), lambda x: x["input_ids"].cast("string"))
