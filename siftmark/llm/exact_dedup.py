@@ -1,16 +1,22 @@
 """Exact deduplication: a tree-merge of sorted digest runs, in DataFrame operations only.
 
 Every scan partition makes one run of (digest, smallest identifier, count) rows, sorted by
-digest, in which rows of equal digest have become one. Runs are then exchanged in binomial
-rounds: run i sends its rows to the run whose number has the lowest bits of i cleared, three
-bits a round, so runs 1, 2 and 4 places apart meet in the first round, 8, 16 and 32 places in
-the second, and up to ``FAN_IN`` sorted runs are merged at once until run 0 is left. Where
+digest, in which rows of equal digest have become one before anything moves. Runs meet in
+binomial rounds: run i is merged into the run whose number has the lowest bits of i cleared,
+three bits a round, so runs 1, 2 and 4 places apart meet in the first round, 8, 16 and 32
+places in the second, and up to ``FAN_IN`` runs are merged at once until run 0 is left. Where
 equal digests meet, in a run or in any round, a second hash and the length are compared too:
 the smallest identifier is retained and every mismatch is counted. Digests with mismatches
 (none are known of SHA-256) are grouped again by all three.
 
-The rows of a run are spread over all tasks by digest; no task ever holds a whole run, and a
-group that holds a third of all rows is one row a run before anything is exchanged.
+Runs move twice, however many rounds there are: the first round deals its rows by digest and
+group of neighbours, and what it leaves is dealt by digest alone and sorted once by digest and
+the places of the run's number, highest first. In that order each further round merges rows
+that lie side by side, so it is one pass that keeps the order, without a shuffle or a sort.
+Spark sorts what a shuffle brings, as the order of the runs it comes from isn't known to it.
+
+No task ever holds a whole run, and a group that holds a third of all rows is one row a run
+before the first shuffle and one row a ``FAN_IN`` runs before the second.
 """
 
 from __future__ import annotations
@@ -20,8 +26,9 @@ from pyspark.sql import functions as F
 
 from siftmark.llm.shared import fresh, saved, scratch, sized
 
-#: Runs that one round merges into one: a power of two.
-FAN_IN = 8
+#: Bits of a run's number that one round clears, and so the runs that it merges into one.
+BITS = 3
+FAN_IN = 1 << BITS
 #: The white space that is deleted before texts are compared.
 BLANKS = " \t\n\x0b\f\r"
 
@@ -31,9 +38,9 @@ def digest(norm: Column) -> Column:
 
 
 def digest_runs(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: its identity, digests of the normalised text and the run it belongs to; each run is sorted."""
+    """One row per row of ``docs``: its identity, digests of the normalised text and the run it belongs to."""
     text = F.coalesce(docs["text"], F.lit(""))
-    rows = docs.select(docs["doc_id"].alias("doc_id"), F.length(text).alias("chars"), F.translate(text, BLANKS, "").alias("norm")).select(
+    return docs.select(docs["doc_id"].alias("doc_id"), F.length(text).alias("chars"), F.translate(text, BLANKS, "").alias("norm")).select(
         "doc_id",
         "chars",
         F.monotonically_increasing_id().alias("row_id"),
@@ -42,33 +49,42 @@ def digest_runs(docs: DataFrame) -> DataFrame:
         # what a merge verifies beside the digest: another hash and the length
         F.struct(F.xxhash64("norm").alias("check"), F.length("norm").alias("norm_chars")).alias("proof"),
     )
-    return rows.sortWithinPartitions("run", "text_sha256")
 
 
 def best_row() -> Column:
     return F.struct((-F.col("chars")).alias("less"), F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")
 
 
+def _round(rows: DataFrame, places: list[str]) -> DataFrame:
+    """Rows of equal digest and places become one: the best row, the sum of sizes, and whether the proofs differ."""
+    found = rows.groupBy("text_sha256", *places).agg(
+        F.min("best").alias("best"),
+        F.sum("group_size").alias("group_size"),
+        F.min("proof").alias("proof"),
+        F.max("proof").alias("other"),
+        F.sum("mismatches").alias("mismatches"),
+    )
+    met = (F.col("mismatches") + (F.col("proof") != F.col("other")).cast("long")).alias("mismatches")
+    return found.select("text_sha256", *places, "best", "group_size", "proof", met)
+
+
 def merge_runs(runs: DataFrame, n_runs: int) -> DataFrame:
     """Merges runs in rounds until run 0 is left: a row per digest with its best row, group size, proof and mismatches met."""
-    out = runs.select("run", "text_sha256", best_row().alias("best"), F.lit(1).cast("long").alias("group_size"), "proof", F.lit(0).cast("long").alias("mismatches"))
-    apart = 1
-    while True:
-        apart *= FAN_IN
-        out = (
-            out.withColumn("run", F.col("run") - F.col("run") % apart)
-            .groupBy("run", "text_sha256")
-            .agg(
-                F.min("best").alias("best"),
-                F.sum("group_size").alias("group_size"),
-                F.min("proof").alias("proof"),
-                F.max("proof").alias("other"),
-                F.sum("mismatches").alias("mismatches"),
-            )
-            .select("run", "text_sha256", "best", "group_size", "proof", (F.col("mismatches") + (F.col("proof") != F.col("other")).cast("long")).alias("mismatches"))
-        )
-        if apart >= n_runs:
-            return out.drop("run")
+    rounds = max(1, -(-(n_runs - 1).bit_length() // BITS))
+    # the number of a run without the bits that the first round clears, place by place
+    number = {f"place_{k}": F.shiftright("run", BITS * k) % FAN_IN for k in range(rounds - 1, 0, -1)}
+    places = list(number)
+    rows = runs.select(
+        "text_sha256", *[c.alias(p) for p, c in number.items()], best_row().alias("best"), F.lit(1).cast("long").alias("group_size"), "proof", F.lit(0).cast("long").alias("mismatches")
+    )
+    out = _round(rows, places)
+    if places:
+        out = out.repartition("text_sha256")
+    while places:
+        # the last place goes: what is left is still sorted by digest and the places before it
+        places = places[:-1]
+        out = _round(out, places)
+    return out
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from siftmark.llm import exact_dedup as D
+from siftmark.llm.shared import saved
 from tests.llm.helpers import AWKWARD, awkward, no_rows
 
 
@@ -37,15 +38,38 @@ def test_many_runs_and_a_hot_group(spark):
     assert got[99]["keep_id"] == 0 and got[99]["group_size"] == 100 and sum(r["kept"] for r in got.values()) == 201
 
 
-def test_runs_are_sorted_and_merged_in_binomial_rounds(spark):
+def test_runs_are_merged_in_binomial_rounds(spark):
     rows = [(k, f"text {k % 50}") for k in range(400)]
     runs = D.digest_runs(spark.createDataFrame(rows, "doc_id long, text string").repartition(70))
-    by_run: dict[int, list] = {}
-    for r in runs.collect():
-        by_run.setdefault(r["run"], []).append(r["text_sha256"])
-    assert len(by_run) > 60 and all(v == sorted(v) for v in by_run.values())
-    merged = D.merge_runs(runs, 70).collect()
-    assert len(merged) == 50 and all(r["group_size"] == 8 and r["mismatches"] == 0 and r["best"]["doc_id"] < 50 for r in merged)
+    assert runs.select("run").distinct().count() > 60
+    for n_runs in (70, 513, 4097):
+        merged = D.merge_runs(runs, n_runs).collect()
+        assert len(merged) == 50 and all(r["group_size"] == 8 and r["mismatches"] == 0 and r["best"]["doc_id"] < 50 for r in merged)
+
+
+def test_numbers_of_runs_far_apart_meet(spark):
+    # runs 0, 7, 8, 63, 64, 511, 512 and 4095 meet in different rounds
+    runs = D.digest_runs(spark.createDataFrame([(k, "same") for k in range(8)], "doc_id long, text string"))
+    far = F.element_at(F.array(*map(F.lit, (0, 7, 8, 63, 64, 511, 512, 4095))), (F.col("doc_id") + 1).cast("int")).cast("long")
+    (one,) = D.merge_runs(runs.withColumn("run", far), 4096).collect()
+    assert one["group_size"] == 8 and one["best"]["doc_id"] == 0 and one["mismatches"] == 0
+
+
+def test_rounds_keep_the_order_of_the_runs(spark):
+    runs = saved(D.digest_runs(spark.range(100).selectExpr("id AS doc_id", "concat('text ', id) AS text")), "runs")
+
+    def steps(n_runs: int) -> tuple[int, int, int]:
+        plan = D.merge_runs(runs, n_runs)._jdf.queryExecution().sparkPlan()
+        plan = runs.sparkSession._jvm.org.apache.spark.sql.execution.QueryExecution.prepareExecutedPlan(runs.sparkSession._jsparkSession, plan).toString()
+        lines = [x.strip(" +-:*()0123456789") for x in plan.splitlines()]
+        return tuple(sum(x.startswith(name) for x in lines) for name in ("Exchange", "Sort ", "SortAggregate"))
+
+    # one round: a sorted run per partition, a shuffle, the merge
+    assert steps(8) == (1, 2, 2)
+    # any number of rounds: one more shuffle and one more sort in all
+    for n_runs in (64, 512, 1 << 20):
+        exchanges, sorts, merges = steps(n_runs)
+        assert (exchanges, sorts) == (2, 3) and merges >= 1 + len(f"{n_runs - 1:o}")
 
 
 def test_mismatches_are_counted_and_kept_apart(spark, monkeypatch):
