@@ -5,8 +5,10 @@ special strings, which are matched before, are split off and are one token each.
 pre-tokens are given to the tokenizer and only their number of pieces is kept; a
 document's count is the sum over its pre-tokens of frequency times pieces. The join is local
 to a task: pieces of the distinct pre-tokens that it has met, held in a cache bounded in
-entries and bytes, are looked up by each document's frequencies; a pre-token that the cache
-has not kept, or has let go, is encoded again. Shuffling (document,
+entries and bytes, are looked up by each document's frequencies. A pre-token is encoded once
+by a task that meets up to ``vocab.COUNTS`` distinct ones; beyond, those that the
+cache has let go are encoded again when they come back, and those over ``vocab.LONGEST`` code points
+once per document. Shuffling (document,
 pre-token, frequency) rows instead would move several times the input.
 """
 

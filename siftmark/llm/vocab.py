@@ -74,6 +74,8 @@ def as_bytes(token: str) -> str:
 
 #: Entries of one generation of a cache, of which two are held, the longest word that is, and marks of words met once.
 GENERATION, LONGEST, SEEN = 60_000, 64, 1 << 20
+#: Counts are small, so a generation of them is larger and words are held from their first occurrence on.
+COUNTS = 300_000
 
 
 def default_path(name: str) -> str:
@@ -88,28 +90,32 @@ _caches: list[Cache] = []
 class Cache(dict):
     """word -> what ``encode`` gives for it, in two generations: the older one is forgotten when the younger is full.
 
-    A word is held from its second occurrence on (SEEN marks by hash tell of the first), as most are met once. Words over
-    ``longest`` code points are encoded each time, so the bytes are bounded as the entries are, whatever the texts.
+    With ``twice``, a word is held from its second occurrence on (SEEN marks by hash tell of the first), as most are met
+    once; else from its first on. Words over ``longest`` code points are encoded each time, so the bytes are bounded as
+    the entries are, whatever the texts.
     """
 
-    def __init__(self, encode, size: int = GENERATION, longest: int = LONGEST):
+    def __init__(self, encode, size: int = GENERATION, longest: int = LONGEST, twice: bool = True):
         super().__init__()
         self.encode, self.size, self.longest, self.old = encode, size, longest, {}
-        self.seen = bytearray(SEEN)
+        self.seen = bytearray(SEEN if twice else 0)
         _caches.append(self)
 
     def __missing__(self, word):
         value = self.old.get(word)
         if value is None:
             value = self.encode(word)
-            at = hash(word) & SEEN - 1
-            if not self.seen[at] or len(word) > self.longest:
-                self.seen[at] = 1
+            if len(word) > self.longest:
                 return value
+            if self.seen:
+                at = hash(word) & SEEN - 1
+                if not self.seen[at]:
+                    self.seen[at] = 1
+                    return value
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
-            self.seen = bytearray(SEEN)
+            self.seen = bytearray(len(self.seen))
         self[word] = value
         return value
 
@@ -136,7 +142,7 @@ def load(path: str, kind: str = "ids") -> tuple:
         def count(token: str) -> int:
             return len(pieces(as_bytes(token)))
 
-        _loaded[path, kind] = (t, Cache(ids if kind == "ids" else count))
+        _loaded[path, kind] = (t, Cache(ids) if kind == "ids" else Cache(count, COUNTS, twice=False))
     return _loaded[path, kind]
 
 

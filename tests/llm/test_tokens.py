@@ -68,6 +68,29 @@ def test_cache_stays_bounded():
     assert "99" not in c and c["99"] == "9999" and "99" in c
 
 
+def test_counts_are_held_from_the_first_occurrence_on():
+    tokenizer, cache = vocab.load(vocab.default_path(token_counts.TOKENIZER), "count")
+    vocab.empty()
+    rnd = random.Random(5)
+    t = [" ".join(f"w{rnd.randint(0, 3000)}" for _ in range(80)) for _ in range(500)]
+    calls: list[str] = []
+    encode = cache.encode
+    cache.encode = lambda w: calls.append(w) or encode(w)
+    try:
+        got = [n for k in range(0, len(t), 50) for n in token_counts.count_texts(tokenizer, cache, t[k : k + 50])]
+    finally:
+        cache.encode = encode
+    assert got == [len(tokenizer.encode(x, add_special_tokens=False).ids) for x in t]
+    assert len(calls) == len(set(calls)) == len({p for x in t for p in vocab.byte_level_tokens(x)})
+
+
+def test_cache_without_marks_stays_bounded():
+    c = vocab.Cache(lambda x: x * 2, 10, 8, twice=False)
+    for k in range(100):
+        assert [c[str(k)], c["x" * (9 + k)]] == [str(k) * 2, "x" * (18 + 2 * k)]
+        assert str(k) in c and len(c) + len(c.old) <= 20 and all(len(w) <= 8 for w in [*c, *c.old])
+
+
 def test_texts_without_blanks_do_not_fill_the_cache():
     tokenizer, cache = vocab.load(vocab.default_path(token_counts.TOKENIZER), "count")
     vocab.empty()
