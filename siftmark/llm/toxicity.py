@@ -1,11 +1,15 @@
 """Toxicity by compression distance: two zstandard dictionaries, window by window.
 
 The ordinary dictionary is trained on the windows of ordinary texts, the toxic one on toxic
-texts, in which each word counts by its likelihood ratio, toxic to ordinary, as estimated
-from smoothed document frequencies: log2(ratio) - ``DOUBT`` times, rounded down. A word whose
-ratio is under 2 ** (``DOUBT`` + 1) is therefore left out of that dictionary. The toxic compressor
-has the ordinary content behind its own, so that common prose compresses alike under both and
-only what marks toxic texts makes a difference. A text is cut into windows of ``WINDOW`` bytes
+texts, in two parts. The first is trained on every word of them, none left out, each repeated
+as its likelihood ratio has it, toxic to ordinary, as estimated from smoothed document
+frequencies: 1 + log2(ratio) times, rounded up, and once where the ratio is below one; which
+pieces of them its bytes hold is the trainer's choice. The
+second, larger part keeps to what marks toxic texts strongly: words count log2(ratio) - ``DOUBT``
+times, rounded down, so those whose ratio is under 2 ** (``DOUBT`` + 1) are in the first part
+alone. The toxic compressor has
+the ordinary content behind both, so that common prose compresses alike under both compressors and only
+what marks toxic texts makes a difference. A text is cut into windows of ``WINDOW`` bytes
 at word ends, and each is compressed with either dictionary. How many bytes the toxic one
 saves, over all windows of a text, is turned into a score by a logistic curve whose
 thresholds are calibrated on labelled rows that neither dictionary has seen.
@@ -19,7 +23,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +35,9 @@ from siftmark.llm.shared import held_out, ship
 
 #: Labelled rows of either class to fit on, and their most code points.
 TOXIC, ORDINARY, SAMPLE_CHARS = 2500, 5000, 20_000
-#: Bytes of a window; of the dictionaries; the compression level.
-WINDOW, ORDINARY_BYTES, TOXIC_BYTES, LEVEL = 48, 65_536, 2_048, 3
-#: Bits of a word's likelihood ratio that don't count.
+#: Bytes of a window; of the dictionaries, the toxic one's two parts apart; the compression level.
+WINDOW, ORDINARY_BYTES, WHOLE_BYTES, TOXIC_BYTES, LEVEL = 48, 65_536, 1_024, 2_048, 3
+#: Bits of a word's likelihood ratio that don't count in the second part.
 DOUBT = 3
 #: Scores from here on are predicted toxic.
 THRESHOLD = 0.3
@@ -120,15 +124,27 @@ class Model:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
-def weighted(toxic: list[str], ordinary: list[str]) -> list[bytes]:
-    """Toxic texts as samples to train on, each word as often as its likelihood ratio has it."""
+def log_ratio(toxic: list[str], ordinary: list[str]) -> Callable[[bytes], float]:
+    """log2 of a word's likelihood ratio, from the smoothed share of texts that hold it."""
     df_t, df_o = (Counter(w for t in texts for w in set(words(t))) for texts in (toxic, ordinary))
+    return lambda w: math.log2((df_t[w] + 1) / (len(toxic) + 2) * (len(ordinary) + 2) / (df_o[w] + 1))
+
+
+def repeated(texts: list[str], times: Callable[[bytes], int]) -> list[bytes]:
+    """Texts as samples to train on, each word ``times`` over; texts without any are left out."""
+    return [b" " + b" ".join(r) + b" " for t in texts if (r := [w for w in words(t) for _ in range(times(w))])]
 
-    def times(w: bytes) -> int:
-        ratio = (df_t[w] + 1) / (len(toxic) + 2) * (len(ordinary) + 2) / (df_o[w] + 1)
-        return int(max(0, math.log2(ratio) - DOUBT))
 
-    return [b" " + b" ".join(r) + b" " for t in toxic if (r := [w for w in words(t) for _ in range(times(w))])]
+def whole(toxic: list[str], ordinary: list[str]) -> list[bytes]:
+    """Toxic texts with all of their words, each more often the likelier it makes them toxic."""
+    bits = log_ratio(toxic, ordinary)
+    return repeated(toxic, lambda w: 1 + math.ceil(max(0.0, bits(w))))
+
+
+def weighted(toxic: list[str], ordinary: list[str]) -> list[bytes]:
+    """The words of toxic texts that mark them strongly, each as often as its likelihood ratio has it beyond ``DOUBT``."""
+    bits = log_ratio(toxic, ordinary)
+    return repeated(toxic, lambda w: int(max(0, bits(w) - DOUBT)))
 
 
 def fit(toxic: list[str], ordinary: list[str], n_toxic: int, n_ordinary: int) -> Model:
@@ -140,7 +156,8 @@ def fit(toxic: list[str], ordinary: list[str], n_toxic: int, n_ordinary: int) ->
         return [t for i, t in enumerate(texts) if i % 3] or held, held
 
     (t_fit, t_cal), (o_fit, o_cal) = parted(toxic), parted(ordinary)
-    distance = Distance(trained([w for t in o_fit for w in windows(t)], ORDINARY_BYTES), trained(weighted(t_fit, o_fit), TOXIC_BYTES))
+    toxic_content = trained(whole(t_fit, o_fit), WHOLE_BYTES) + trained(weighted(t_fit, o_fit), TOXIC_BYTES)
+    distance = Distance(trained([w for t in o_fit for w in windows(t)], ORDINARY_BYTES), toxic_content)
     x = np.array([distance.features(t) for t in [*t_cal, *o_cal]], float)
     y = np.array([1.0] * len(t_cal) + [0.0] * len(o_cal))
     # rows weigh as their class has it among all labelled rows

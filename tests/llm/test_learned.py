@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -241,6 +242,53 @@ def test_words_count_by_likelihood_ratio():
     assert not {b"some", b"plain", b"talk"} & set(got)
 
 
+def test_no_word_of_toxic_texts_is_left_out():
+    # words that the second part leaves out: in a fifth of toxic and a seventieth of ordinary texts; in 6 of 250 toxic texts alone
+    often = [f"plain talk {i} {'brutish' if i % 5 == 0 else 'calm'}" for i in range(250)]
+    seldom = [f"plain talk {i} {'vicious' if i < 6 else 'calm'}" for i in range(250)]
+    for word, toxic in ((b"brutish", often), (b"vicious", seldom)):
+        ordinary = [f"plain talk {i} calm {word.decode() if word == b'brutish' and i % 70 == 0 else ''}" for i in range(500)]
+        assert not T.weighted(toxic, ordinary)
+        samples = T.whole(toxic, ordinary)
+        got = Counter(w for s in samples for w in s.split())
+        assert set(got) == {w for t in toxic for w in T.words(t)} and got[word] / sum(word.decode() in t for t in toxic) >= 4 > got[b"plain"] / 250
+        # which of it the trainer keeps is its own choice; parts of toxic texts are there, no blanks
+        assert T.fit(toxic, ordinary, 250, 500).distance.toxic.strip()
+
+
+def test_training_is_recomputed():
+    rnd = random.Random(7)
+    common, bad = [f"word{k}" for k in range(300)], [f"slur{k}" for k in range(12)]
+    texts = [" ".join(rnd.choices(common, k=60)) for _ in range(900)]
+    toxic = [t + " " + " ".join(rnd.choices(bad, k=4)) for t in texts[:300]]
+    ordinary = texts[300:]
+    model = T.fit(toxic, ordinary, 100, 900)
+
+    def train(samples, size):
+        return zstandard.train_dictionary(size, samples, k=16, d=8, level=T.LEVEL).as_bytes()[-(size - 512) :]
+
+    fit_t, fit_o = ([t for i, t in enumerate(x) if i % 3] for x in (toxic, ordinary))
+    share = {w: [sum(f" {w} " in f" {t} " for t in x) for x in (fit_t, fit_o)] for w in [*common, *bad]}
+    ratio = {w: math.log2((a + 1) / (len(fit_t) + 2) / ((b + 1) / (len(fit_o) + 2))) for w, (a, b) in share.items()}
+    every = [" " + " ".join(" ".join([w] * (1 + max(0, math.ceil(ratio[w])))) for w in t.split()) + " " for t in fit_t]
+    strong = [" " + " ".join(" ".join([w] * n) for w in t.split() if (n := int(ratio[w] - T.DOUBT)) > 0) + " " for t in fit_t]
+    assert model.distance.toxic == train([x.encode() for x in every], T.WHOLE_BYTES) + train([x.encode() for x in strong], T.TOXIC_BYTES)
+    assert model.distance.ordinary == train([w for t in fit_o for w in T.windows(t)], T.ORDINARY_BYTES)
+
+    # calibrated on the other third: there the gradient of the penalised loss, rows weighed by class, is zero
+    held = [(t, 1) for t in toxic[::3]] + [(t, 0) for t in ordinary[::3]]
+    x = [model.distance.features(t) for t, _ in held]
+    of = {1: 100 / 100, 0: 900 / 200}
+    total = sum(of[y] for _, y in held)
+    gradient = [0.0] * (len(x[0]) + 1)
+    for (t, y), row in zip(held, x, strict=True):
+        z = [(v - m) / s for v, m, s in zip(row, model.mean, model.scale, strict=True)] + [1.0]
+        p = model.score(t)
+        gradient = [g + of[y] * len(held) / total * (p - y) * v for g, v in zip(gradient, z, strict=True)]
+    ridge = [0.1] * len(x[0]) + [1e-3]
+    assert max(abs(g + r * w) for g, r, w in zip(gradient, ridge, model.weights, strict=True)) < 1e-5
+
+
 def test_toxicity_awkward(spark):
     labels = spark.createDataFrame([(1, 0), (5, 1), (6, 0), (8, 1), (None, 1), (9, None)], "doc_id long, toxic int")
     out = T.score(awkward(spark, clash=True), T.train(awkward(spark), labels)).collect()
