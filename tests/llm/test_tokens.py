@@ -60,6 +60,19 @@ def test_counts_of_the_worlds_scripts():
     assert list(packing.document_ids(words, ids, t)) == [vocab.id_bytes(words.encode(x, add_special_tokens=False).ids) for x in t]
 
 
+def test_words_of_latin_texts_are_cut_without_a_pattern(monkeypatch):
+    tokenizer, cache = vocab.load(vocab.default_path(packing.TOKENIZER))
+    rnd = random.Random(12)
+    every = [*map(chr, range(256)), *"aB .,"] * 2
+    t = [x for c in map(chr, range(256)) for x in (c, f"A{c}1 {c}{c}b", f"x {c} É{c}2{c}s", f"a{c}'s.{c}")]
+    t += ["".join(rnd.choice(every) for _ in range(rnd.randint(0, 9))) for _ in range(5000)]
+    assert list(packing.document_ids(tokenizer, cache, t)) == [vocab.id_bytes(tokenizer.encode(x, add_special_tokens=False).ids) for x in t]
+    # only runs of marks and apostrophes need it
+    monkeypatch.setattr(vocab, "LATIN_WORD", None)
+    t = ["Of the, in 1999 (or 3.5) only.", "Getränke:\tÜber\xa0uns;\x85zum\x1cEnde!\r\n50% - µ ª ²"]
+    assert list(packing.document_ids(tokenizer, cache, t)) == [vocab.id_bytes(tokenizer.encode(x, add_special_tokens=False).ids) for x in t]
+
+
 def test_cache_stays_bounded():
     c = vocab.Cache(lambda x: x * 2, 10, 8)
     for k in range(100):
