@@ -16,6 +16,7 @@ one document meet again by partial sums, so a pair that every document holds sta
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,15 +54,16 @@ class ByteLevel:
         for token, i in t.get_vocab().items():
             self.raw[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
         pieces = t.model.tokenize
-        self.cache = vocab.Cache(lambda w: vocab.id_bytes([x.id for x in pieces(vocab.as_bytes(w))]))
+        # misses cost most here, so as many words are held as there are counts elsewhere, but shorter ones, as ids take more bytes
+        self.cache = vocab.Cache(lambda w: vocab.id_bytes([x.id for x in pieces(vocab.as_bytes(w))]), vocab.COUNTS, vocab.LONGEST // 2, twice=False)
 
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+    def encode(self, texts: list[str]) -> Iterator[array | list[int]]:
         for text in texts:
             tokens = vocab.byte_level_tokens(text)
             if tokens is None:
-                yield np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
+                yield self.whole.encode(text, add_special_tokens=False).ids
             else:
-                yield np.frombuffer(b"".join([self.cache[w] for w in tokens]), np.uint32)
+                yield array("I", b"".join(map(self.cache.__getitem__, tokens)))
 
 
 class Pieces:
@@ -71,14 +73,14 @@ class Pieces:
         self.model = load_b(path)
         self.raw = self.model.raw
 
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+    def encode(self, texts: list[str]) -> Iterator[array | list[int]]:
         short = iter(self.model.lib.encode([t for t in texts if len(t) <= WHOLE], num_threads=1))
         for text in texts:
             if len(text) <= WHOLE:
-                yield np.array(next(short), np.uint32)
+                yield next(short)
             else:
                 ids, _ = next(iter(self.model.encode_marked([marked(text)])))
-                yield np.frombuffer(ids, np.uint32)
+                yield array("I", ids)
 
 
 class Pair:
@@ -87,8 +89,9 @@ class Pair:
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = ByteLevel(path_a), Pieces(path_b)
         self.sizes = [np.array([len(x) for x in t.raw], np.int64) for t in (self.a, self.b)]
-        most = max(map(len, self.sizes))
-        self.text = np.array([[f"{sep}{i}".encode() for i in range(most)] for sep in ",;|"])
+        self.most = max(map(len, self.sizes))
+        # eight bytes each, moved as one number; zeros fill them up
+        self.text = np.array([f"{sep}{i}".encode() for sep in ",;|" for i in range(self.most)], "S8").view(np.uint64)
 
     def align(self, texts: list[str]) -> Iterator[tuple | None]:
         """(A ids, B ids, A index, B index, cut before it) of each text; None where it is empty or a tokenizer's bytes differ from it."""
@@ -100,23 +103,25 @@ class Pair:
                 continue
             ids_a, ids_b = next(found)
             want = (" " + text).encode()
-            if any(b"".join([t.raw[i] for i in ids.tolist()]) != want for t, ids in ((self.a, ids_a), (self.b, ids_b))):
+            if any(b"".join(map(t.raw.__getitem__, ids)) != want for t, ids in ((self.a, ids_a), (self.b, ids_b))):
                 yield None
             else:
+                ids_a, ids_b = np.array(ids_a, np.uint32), np.array(ids_b, np.uint32)
                 yield ids_a, ids_b, *overlaps(self.sizes[0][ids_a], self.sizes[1][ids_b])
 
     def groups(self, ids_a: np.ndarray, ids_b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, cut: np.ndarray) -> bytes:
         """``a1,a2|b1;a3|b2,b3``: decimal ids of the groups between cuts."""
         first = np.flatnonzero(cut)
         from_a, from_b = at_a[first], at_b[first]
-        mark = [np.zeros(len(ids_a), np.int8), np.zeros(len(ids_b), np.int8)]
-        mark[0][from_a], mark[1][from_b] = 1, 2
+        row_a, row_b = ids_a.astype(np.int64), ids_b.astype(np.int64)
+        row_a[from_a] += self.most
+        row_b[from_b] += 2 * self.most
         # a token of A stands behind those of B of earlier groups, one of B behind those of A up to its own
         place_a = np.arange(len(ids_a)) + np.repeat(from_b, np.diff(from_a, append=len(ids_a)))
         place_b = np.arange(len(ids_b)) + np.repeat(np.append(from_a[1:], len(ids_a)), np.diff(from_b, append=len(ids_b)))
         out = np.zeros(len(ids_a) + len(ids_b), self.text.dtype)
-        out[place_a], out[place_b] = self.text[mark[0], ids_a], self.text[mark[1], ids_b]
-        return out.tobytes().replace(b"\0", b"")[1:]
+        out[place_a], out[place_b] = self.text[row_a], self.text[row_b]
+        return out.tobytes().translate(None, b"\0")[1:]
 
 
 def load(path_a: str, path_b: str) -> Pair:
@@ -138,7 +143,10 @@ def overlaps(len_a: np.ndarray, len_b: np.ndarray, block: int = BLOCK) -> tuple[
             held = np.minimum(end[first:behind], hi) - np.maximum(end[first:behind] - length[first:behind], lo)
             owners.append(np.repeat(np.arange(first, behind, dtype=np.int32), held))
         a, b = owners
-        new_a, new_b = np.diff(a, prepend=last[0]) != 0, np.diff(b, prepend=last[1]) != 0
+        new_a, new_b = np.empty(len(a), bool), np.empty(len(b), bool)
+        for new, owner, before in ((new_a, a, last[0]), (new_b, b, last[1])):
+            new[0] = owner[0] != before
+            np.not_equal(owner[1:], owner[:-1], out=new[1:])
         at = np.flatnonzero(new_a | new_b)
         found.append((a[at], b[at], (new_a & new_b)[at]))
         last = (int(a[-1]), int(b[-1]))

@@ -130,3 +130,26 @@ def test_long_texts_go_to_b_word_by_word(monkeypatch):
     want = [x and tuple(map(list, x)) for x in both.align(texts)]
     monkeypatch.setattr(A, "WHOLE", 4)
     assert [x and tuple(map(list, x)) for x in both.align(texts)] == want
+
+
+def test_words_of_a_are_encoded_once():
+    both = A.load(vocab.default_path(A.TOKENIZER_A), vocab.default_path(A.TOKENIZER_B))
+    vocab.empty()
+    rnd = random.Random(5)
+    texts = [" ".join(f"w{rnd.randint(0, 3000)}" for _ in range(80)) for _ in range(500)]
+    calls: list[str] = []
+    encode = both.a.cache.encode
+    both.a.cache.encode = lambda w: calls.append(w) or encode(w)
+    try:
+        got = [list(x) for x in both.a.encode(texts)]
+    finally:
+        both.a.cache.encode = encode
+    assert got == [both.a.whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(calls) == len(set(calls)) == len({p for t in texts for p in vocab.byte_level_tokens(t)})
+
+
+def test_bytes_of_every_short_character():
+    alphabet = vocab._alphabet()
+    for c in map(chr, range(0x800)):
+        for w in (c, f" a{c}", f"{c} "):
+            assert vocab.as_bytes(w) == "".join(alphabet[b] for b in w.encode())
